@@ -81,20 +81,20 @@ _UP = """links as (
   select distinct type, case when type = 'CONTAINS' then dst else src end as id, case when type = 'CONTAINS' then src else dst end as par
   from edges where type in ('CONTAINS', 'EXTENDS') and src is not null and dst is not null),
 up as (
-  select type, id, par as at, 1 as depth, [id, par] as path, false as looped from links
+  select type, id, par as top, 1 as depth, [id, par] as path, false as looped from links
   union all
   select up.type, up.id, links.par, depth + 1, list_append(path, links.par), list_contains(path, links.par)
-  from up join links on links.type = up.type and links.id = up.at where not looped),
-ends as (select type, id, max(depth) as depth, max_by(at, depth) as at, max_by(path, depth) as path, bool_or(looped) as looped from up group by type, id),
+  from up join links on links.type = up.type and links.id = up.top where not looped),
+ends as (select type, id, max(depth) as depth, max_by(top, depth) as top, max_by(path, depth) as path, bool_or(looped) as looped from up group by type, id),
 found as (
-  select type, id, case when looped then list_min(path[list_position(path, at):]) else at end as root_id,
+  select type, id, case when looped then list_min(path[list_position(path, top):]) else top end as root_id,
     cast(case when looped then -1 else depth end as integer) as depth, case when looped then null else array_to_string(list_reverse(path), '/') end as path
   from ends)"""
 
 SQL = {
     "p3_found": f"with recursive {_UP} select type, id, root_id, depth from found",
     "p3_paths": f"with recursive {_UP} select type, id, root_id, depth, path from found",
-    "p3_descendants": f"with recursive {_UP} select u.type, u.at as id, count(*) as n_descendants, cast(max(u.depth) as integer) as height from up u join found f on f.type = u.type and f.id = u.id where f.depth >= 0 group by u.type, u.at",
+    "p3_descendants": f"with recursive {_UP} select u.type, u.top as id, count(*) as n_descendants, cast(max(u.depth) as integer) as height from up u join found f on f.type = u.type and f.id = u.id where f.depth >= 0 group by u.type, u.top",
     "p3_loops": f"with recursive {_UP} select type, root_id as loop_id, count(*) as n_nodes from found where depth < 0 group by type, root_id",
     "p5_found": """with runs as (select run_no, scan_seq, schema_version from run_index where scan_seq is not null),
 writes as (select distinct write_seq, op, id, nullif(body_hash, '') as body, nullif(summary_hash, '') as summary, sig_schema_version as version from function_log),
