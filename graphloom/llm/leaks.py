@@ -136,9 +136,9 @@ def holds(item: np.ndarray, text: np.ndarray, least: int = MIN_WORDS, per: int =
     n, m = len(item), len(text)
     if n < least or m < least - least // per:
         return False
-    ramp = np.arange(m + 1, dtype=np.int32)
+    ramp = np.arange(m + 1, dtype=np.int16)
     starts = np.arange(n - least + 1)
-    cost = np.zeros((len(starts), m + 1), dtype=np.int32)
+    cost = np.zeros((len(starts), m + 1), dtype=np.int16)
     differs = item[:, None] != text[None, :]
     for length in range(1, n + 1):
         alive = starts + length <= n
@@ -167,6 +167,17 @@ def search(items: Items, text: str | None) -> list[int]:
     return [i for _, i in search_all(items, [text])]
 
 
+def _aligned(item: np.ndarray, w: np.ndarray, diag: int, a: int, b: int) -> bool:
+    """The easy case of ``holds``: MIN_WORDS words of the item that lie in the text as they are,
+    but for words changed in place."""
+    i = max(0, a - diag)
+    k = min(len(item), b - diag)
+    if k - i < MIN_WORDS:
+        return False
+    same = np.concatenate([[0], np.cumsum(item[i:k] == w[diag + i : diag + k])])
+    return bool((same[MIN_WORDS:] - same[:-MIN_WORDS] >= MIN_WORDS - MIN_WORDS // PER).any())
+
+
 _GAP = 64  # unknown words between texts
 
 
@@ -237,6 +248,9 @@ def search_all(items: Items, texts: list[str | None]) -> list[tuple[int, int]]:
         slack = len(arr) // PER + 2
         a0, b0 = bounds[d], (bounds[d + 1] if d + 1 < len(bounds) else n) - _GAP
         ds = np.unique(diag[g])
+        if any(_aligned(arr, w, int(x), a0, b0) for x in ds):
+            found.append((d, item))
+            continue
         for s in np.split(ds, np.nonzero(np.diff(ds) > slack)[0] + 1):
             if holds(arr, w[max(a0, int(s[0]) - slack) : min(b0, int(s[-1]) + len(arr) + slack)]):
                 found.append((d, item))

@@ -18,6 +18,10 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
 
+#: And for text in which letters and digits are all that Python's own classes take them for.
+_WIDE = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
+
+
 class _Counts(dict):
     LIMIT = 400_000
 
@@ -43,11 +47,14 @@ class Subwords:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._any = regex.compile(PATTERN)
+        self._odd = regex.compile(r"[\p{Nl}\p{No}\p{M}\x1c-\x1f\x85\u180e\u200b-\u200d]")
         self.counts = _Counts(self.encoding)
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens; they tile the text."""
-        return (_ASCII if text.isascii() else self._any).findall(text)
+        if text.isascii():
+            return _ASCII.findall(text)
+        return (self._any if self._odd.search(text) else _WIDE).findall(text)
 
     def count(self, text: str | None) -> int:
         if not text:
