@@ -75,13 +75,13 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, spark: SparkSession, bytes_per_task: int = 4 << 20) -> DataFrame:
-    """Give a scan of few, large files or row groups enough tasks for work in Python.
+def spread(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Give a scan enough tasks for work in Python.
 
-    Files smaller than ``spark.sql.files.maxPartitionBytes`` come as one task each; where that
-    leaves cores idle the rows are dealt out evenly. Rows are moved at most once and none are lost.
+    A table of few files or row groups comes in few tasks. Only where that leaves at least half of
+    the cores idle the rows are dealt out evenly, which moves them once.
     """
-    if df.rdd.getNumPartitions() >= 2 * cores(spark):
+    if df.rdd.getNumPartitions() * 2 > cores(spark):
         return df
     return df.repartition(3 * cores(spark))
 
