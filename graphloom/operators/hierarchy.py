@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.session import Scratch
@@ -60,7 +60,7 @@ def contract(links: DataFrame, with_paths: bool = False, scratch: Scratch | None
     scratch = scratch or Scratch(spark, "hierarchy")
     seg = [F.array().cast(f"array<{links.schema['id'].dataType.simpleString()}>").alias("seg")] if with_paths else []
     # w: links between id and par; low: smallest id spliced out between them; seg: those ids, upwards
-    live, live_path = scratch.write(links.select("tree", "id", "par", F.col("par").alias("parent_id"), F.lit(1).alias("w"), F.col("id").alias("low"), *seg), "links")
+    live, _ = scratch.write(links.select("tree", "id", "par", F.col("par").alias("parent_id"), F.lit(1).alias("w"), F.col("id").alias("low"), *seg), "links")
     records: list[DataFrame] = []
     cores: list[DataFrame] = []
     cols = live.columns
@@ -74,7 +74,7 @@ def contract(links: DataFrame, with_paths: bool = False, scratch: Scratch | None
         rest = live.filter(F.col("id") != F.col("par"))
         kids = rest.groupBy("tree", F.col("par").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
         state = rest.join(kids, ["tree", "id"], "left").withColumn("spliced", F.coalesce((F.col("kids") == 1) & _coin("id", rounds) & ~_coin("par", rounds), F.lit(False)))
-        marked, marked_path = scratch.write(core.select(*cols, F.lit(None).cast("long").alias("kids"), F.lit(False).alias("spliced")).unionByName(state.select(*cols, "kids", "spliced")), f"mark{rounds}")
+        marked = core.select(*cols, F.lit(None).cast("long").alias("kids"), F.lit(False).alias("spliced")).unionByName(state.select(*cols, "kids", "spliced"))
         up = marked.filter("spliced").select("tree", F.col("id").alias("par"), F.col("par").alias("up_par"), F.col("w").alias("up_w"), F.col("low").alias("up_low"), *([F.col("seg").alias("up_seg")] if with_paths else []))
         joined = marked.filter(~F.col("spliced")).join(up, ["tree", "par"], "left")
         hit = F.col("up_par").isNotNull()
@@ -86,14 +86,15 @@ def contract(links: DataFrame, with_paths: bool = False, scratch: Scratch | None
             F.when(F.col("id") == F.col("par"), 2).when(F.col("kids").isNull(), 1).otherwise(0).alias("gone"),
         )
         spliced = marked.filter("spliced").select(*cols, F.lit(1).alias("gone"))
-        step, step_path = scratch.write(moved.select(*cols, "gone").unionByName(spliced), f"step{rounds}")
-        counts = {r["gone"]: r["n"] for r in step.groupBy("gone").agg(F.count(F.lit(1)).alias("n")).collect()}
-        scratch.drop(live_path, marked_path)
+        seen = Observation()
+        step = moved.select(*cols, "gone").unionByName(spliced).observe(seen, *[F.count_if(F.col("gone") == g).alias(f"n{g}") for g in range(3)])
+        step, _ = scratch.write(step, f"step{rounds}")
+        counts = {g: seen.get[f"n{g}"] for g in range(3)}
         if counts.get(1):
             records.append(step.filter("gone = 1").drop("gone"))
         if counts.get(2):
             cores.append(step.filter("gone = 2").drop("gone"))
-        live, live_path = step.filter("gone = 0").drop("gone"), f"{scratch.root}/none"
+        live = step.filter("gone = 0").drop("gone")
         if not counts.get(0):
             break
 
