@@ -130,9 +130,13 @@ def prepare(keys: list, texts: list[str | None], seed: int = 11) -> Items:
     return Items(keys, arrays, ids, bits, picks, h, wh, of, member)
 
 
+_FAR = np.int16(1000)
+
+
 def holds(item: np.ndarray, text: np.ndarray, least: int = MIN_WORDS, per: int = PER) -> bool:
     """Is some stretch of at least ``least`` words of ``item`` within one edit in ``per`` words of a
-    stretch of ``text``? Exact, by dynamic programming over all starts at once."""
+    stretch of ``text``? The stretch's first and last words must be there, so dropped words don't
+    make a shorter one longer. Exact, by dynamic programming over all starts at once."""
     n, m = len(item), len(text)
     if n < least or m < least - least // per:
         return False
@@ -146,13 +150,17 @@ def holds(item: np.ndarray, text: np.ndarray, least: int = MIN_WORDS, per: int =
             starts, cost = starts[alive], cost[alive]
             if not len(starts):
                 return False
+        off = differs[starts + length - 1]
         new = np.empty_like(cost)
-        new[:, 0] = cost[:, 0] + 1
-        np.minimum(cost[:, :-1] + differs[starts + length - 1], cost[:, 1:] + 1, out=new[:, 1:])
-        new = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        new[:, 0] = _FAR
+        if length == 1:
+            new[:, 1:] = off * _FAR
+        else:
+            if length >= least and ((cost[:, :-1] + off * _FAR).min(axis=1) * per <= length).any():
+                return True
+            np.minimum(cost[:, :-1] + off, cost[:, 1:] + 1, out=new[:, 1:])
+            new = np.minimum(np.minimum.accumulate(new - ramp, axis=1) + ramp, _FAR)
         best = new.min(axis=1)
-        if length >= least and (best * per <= length).any():
-            return True
         keep = best * per <= n - starts
         if not keep.all():
             starts, new = starts[keep], new[keep]
@@ -174,8 +182,10 @@ def _aligned(item: np.ndarray, w: np.ndarray, diag: int, a: int, b: int) -> bool
     k = min(len(item), b - diag)
     if k - i < MIN_WORDS:
         return False
-    same = np.concatenate([[0], np.cumsum(item[i:k] == w[diag + i : diag + k])])
-    return bool((same[MIN_WORDS:] - same[:-MIN_WORDS] >= MIN_WORDS - MIN_WORDS // PER).any())
+    eq = item[i:k] == w[diag + i : diag + k]
+    same = np.concatenate([[0], np.cumsum(eq)])
+    enough = same[MIN_WORDS:] - same[:-MIN_WORDS] >= MIN_WORDS - MIN_WORDS // PER
+    return bool((enough & eq[: 1 - MIN_WORDS] & eq[MIN_WORDS - 1 :]).any())
 
 
 _GAP = 64  # unknown words between texts
