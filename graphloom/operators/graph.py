@@ -25,7 +25,7 @@ def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) ->
     """
     scratch = Scratch(seeds.sparkSession, "closure")
     tags = [c for c in seeds.columns if c != "id"]
-    e = edges.dropna().select("src", "dst").distinct()
+    e = edges.select("src", "dst").dropna().distinct()
     e, _ = scratch.write(e, "edges")
     seen, _ = scratch.write(seeds.dropna(subset=["id"]).distinct(), "seen")
     frontier = seen
