@@ -102,6 +102,30 @@ def test_origin_family(spark):
     assert {r["file_id"] for r in origin.classify(files(spark, rows), "harborlight").collect()} == {0, 1, 2, 3, 4}
 
 
+def statements(rng, n):
+    return ["    x = " + "".join(f"a{i} {rng.choice('+-*/%&|^')} " for i in range(7)) + "b;\n" for _ in range(n)]
+
+
+def java_of(lines, name="A"):
+    return f"class {name} {{\n  void f() {{\n" + "".join(lines) + "  }\n}\n"
+
+
+def test_origin_family_in_a_band_of_unlike_marked_shapes(spark):
+    rng = random.Random(5)
+    body = statements(rng, 40)
+
+    def changed(n):
+        out = list(body)
+        for i in rng.sample(range(40), n):
+            out[i] = statements(rng, 1)[0]
+        return java_of(out)
+
+    signed = "// @generated by tablegen (rev 1)\n"
+    like = signed + changed(4)
+    rows = [("java", java_of(body)), ("java", like), ("java", like.replace("class A", "class B"))] + [("java", signed + changed(6)) for _ in range(400)]
+    assert 0 in {r["file_id"] for r in origin.classify(files(spark, rows), "harborlight").collect()}
+
+
 def edit(rng, ws, n):
     ws = list(ws)
     for _ in range(n):
