@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -258,8 +259,13 @@ def _braced(source: str, lang: str) -> list[Found]:
     return out
 
 
+_PY_DOC = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*[rRuU]?(\"\"\"|''')([\s\S]*?)\1|(?:[ \t]*\n)*[ \t]*[rRuU]?([\"'])([^\n]*?)\3[ \t]*(?:\n|\Z)")
+
+
 def _indented(source: str) -> list[Found]:
-    lines = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    whole = source.replace("\r\n", "\n").replace("\r", "\n")
+    lines = whole.split("\n")
+    starts = [0, *accumulate(len(x) + 1 for x in lines)]
     out: list[Found] = []
     scope: list[tuple[int, str]] = []  # (indent, name)
     open_defs: list[tuple[int, dict]] = []
@@ -291,8 +297,7 @@ def _indented(source: str) -> list[Found]:
                 text = re.sub(r"^\s*(?:async\s+)?def\s+", "", sig).strip()
                 text = text[: text.rfind(":")] if ":" in text else text
                 doc = None
-                rest = "\n".join(lines[j + 1 : j + 400])
-                d = re.match(r"(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*[rRuU]?(\"\"\"|''')([\s\S]*?)\1|(?:[ \t]*\n)*[ \t]*[rRuU]?([\"'])([^\n]*?)\3[ \t]*(?:\n|\Z)", rest)
+                d = _PY_DOC.match(whole, starts[min(j + 1, len(lines))])
                 if d:
                     doc = d[2] if d[2] is not None else d[4]
                 else:

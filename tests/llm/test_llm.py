@@ -84,6 +84,12 @@ def test_extraction(spark):
     assert got == {("a.b.C#f", "Never null.", 5, 7), ("K.m", "Sorted descending.", 2, 6), ("K.n", "Safe to call twice.", 10, 14)}
 
 
+def test_extraction_of_a_long_docstring():
+    doc = "Sorted descending.\n" + "".join(f"    Rule {i} holds.\n" for i in range(600))
+    got = docs._indented(f'def f(a):\n    """{doc}    """\n    return a\n\n\ndef g():\n    return 1\n\n\ndef h(): pass')
+    assert [(x.name, x.docstring and x.docstring.strip()) for x in got] == [("f", doc.strip()), ("g", None), ("h", None)]
+
+
 def test_origin(spark):
     hand = "package org.harborlight.x;\nclass A {\n" + "".join(f"  int f{i}(int a) {{ return a * {i} + g{i}(a); }}\n" for i in range(9)) + "}\n"
     rows = [
