@@ -116,6 +116,13 @@ def java_of(lines, name="A"):
     return f"class {name} {{\n  void f() {{\n" + "".join(lines) + "  }\n}\n"
 
 
+def test_origin_unmarked_text_of_a_marked_shape(spark):
+    body = java_of(statements(random.Random(6), 15))
+    rows = [("java", "// @generated by tablegen (rev 1)\n" + body.replace("class A", f"class A{i}")) for i in range(3)] + [("java", body)]
+    assert {r["file_id"] for r in origin.classify(files(spark, rows), "harborlight").collect()} == {0, 1, 2, 3}
+    assert origin.classify(files(spark, rows[3:]), "harborlight").count() == 0
+
+
 def test_origin_family_in_a_band_of_unlike_marked_shapes(spark):
     rng = random.Random(5)
     body = statements(rng, 40)
@@ -127,8 +134,8 @@ def test_origin_family_in_a_band_of_unlike_marked_shapes(spark):
         return java_of(out)
 
     signed = "// @generated by tablegen (rev 1)\n"
-    like = signed + changed(4)
-    rows = [("java", java_of(body)), ("java", like), ("java", like.replace("class A", "class B"))] + [("java", signed + changed(6)) for _ in range(400)]
+    like = signed + changed(6)
+    rows = [("java", java_of(body)), ("java", like), ("java", like.replace("class A", "class B"))] + [("java", signed + changed(12)) for _ in range(400)]
     assert 0 in {r["file_id"] for r in origin.classify(files(spark, rows), "harborlight").collect()}
 
 
