@@ -1,9 +1,11 @@
 """Credentials in source text: unnatural strings by characters per subword, then rules of context.
 
 A string that people would read costs few subwords of a public vocabulary for its length; a random
-one costs many. Strings are judged by that ratio together with where they stand: the name they are
-assigned to, the call or statement they are passed to, the form of well-known tokens. Redaction
-replaces a secret's characters one by one, so that offsets, lines and quotes stay as they are.
+one costs many. Every string is judged by that ratio first, strictly where nothing else speaks for a
+secret and less so where its place does: the name it is assigned to, the call or statement it is
+passed to, the form of well-known tokens. Redaction replaces a secret's characters one by one, so
+that offsets, lines and quotes stay as they are, and leaves what stands between the parts of a
+secret alone.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from graphloom.llm.tokens import DEFAULT_VOCABULARY, Subwords, subwords
 
 #: Characters per subword at or below which a string counts as unnatural.
 UNNATURAL = 2.6
+#: The same where the place of a string says that it's a secret. Words and names are above it.
+UNUSUAL = 4.0
 LEAST = 6
 
 _STRONG = r"pass(?:wor[dt]|wd|phrase|code)?|pass_phrase|pwd|passw|contrase(?:n|ñ)a|kennwort|mot_?de_?passe|senha|parola|geheim|secret|wachtwoord|haslo"
@@ -36,9 +40,11 @@ _STRONG_RX = re.compile(rf"(?i){_STRONG}")
 _CHARS = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\")\s*\.\s*toCharArray\(\)")
 _STR = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _KEYWORD = re.compile(rf"(?i){_STRONG}|{_WEAK}")
-_NAME_LEFT, _NAME_RIGHT = re.compile(r"[\w.$-]*\Z"), re.compile(r"[\w.$-]*")
+_NAME_RIGHT = re.compile(r"[\w.$-]*")
 _VALUE = re.compile(rf"[\"']?\s*\]?\s*(?::\s*[\w<>\[\].]+\s*=(?!=)|:=|=>|=(?!=)|:|,|\()\s*(?:\w+\()?[bru]?(?P<v>{_STR})", re.IGNORECASE)
 _EXPORT = re.compile(rf"(?i)\b(?:export|set|env|-e)\s+(?P<name>[\w.-]*(?:{_STRONG}|{_WEAK})[\w.-]*)=(?P<v>[^\s\"'`;]+)")
+#: A variable set for one command.
+_PREFIX = re.compile(r"(?<![\w.$-])(?P<name>[A-Z][A-Z0-9_]*(?:PASS|PASSWORD|PASSWD|PWD|SECRET|TOKEN|KEY))=(?P<v>[^\s\"'`;&|$<{%]+)[ \t]+[\w./-]")
 _SETTING = re.compile(rf"(?i)^\s*(?:export\s+|-\s+)?[\"']?(?P<name>[\w.$-]*(?:{_STRONG}|{_WEAK})[\w.$-]*)[\"']?\s*[:=]\s*(?P<v>\S.*?)\s*$")
 #: Names of things that are no secrets though they sound like them.
 _NOT_NAME = re.compile(r"(?i)hash|digest|(?:^|[^a-z])sha\d*$|expected_?sha|md5|checksum|integrity|etag|fingerprint|label|hint|help|placeholder|alias|_?name$|param|prompt|message|title|text|public|pub_?key|trace|uuid|guid|request_?id|commit|revision|field|column|header_?name|regex|pattern|format|policy|rotation|length|(?:^|[^a-z])(?:min|max)_|error|url_?path|keyword|keyboard|primary|foreign|author|path$|file$|_id$|Id$|passenger|compass|bypass|passed|passing|passive|passage")
@@ -64,6 +70,11 @@ _SAID = re.compile(rf"(?i)\b(?:\w+[-_ ])?(?:{_STRONG}|api[- ]?key|token|key)\b\s
 _SLASHED = re.compile(r"(?i)\b(?:as|user|login|account|with|under)\s+[\w.@-]+\s*/\s*([^\s\"'`]{6,})")
 _JOIN = re.compile(r"([\"'`])\s*(?:\+|\.)\s*[\"'`]")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A run of base64: a long one anywhere, a short one only alone between quotes or on its line.
+_PEM_PART = re.compile(r"(?:(?<=\\n)|(?<=\\r)|(?<![\w.\\+/]))(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,15}={0,2}(?=[\"'`\\]|[ \t,;]*(?:\r?\n|\Z)))(?![\w:(])")
+#: Code after a key that has no end.
+_PEM_BREAK = re.compile(r"[(){}=:<>]|\b(?:def|class|function|public|private|static|return|import|const|let|var)\b")
 _HASHES = re.compile(r"^(?:\$2[abxy]?\$|\$argon2|\$pbkdf2|\$[156]\$|\{SSHA|pbkdf2_|scrypt:|sha\d+[-:$]|md5[-:]|bcrypt)")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
 #: A weak word as a whole word of a name, in snake, kebab or camel case.
@@ -91,7 +102,7 @@ class Finder:
         """Could ``v`` be a value somebody logs in with?"""
         if len(v) < LEAST or self.placeholder(v) or _LOOKUP.search(v) or _HASHES.match(v):
             return False
-        return " " not in v.strip()
+        return " " not in v.strip() and self.ratio(v) <= UNUSUAL
 
     def password_like(self, v: str) -> bool:
         if not self._plain(v):
@@ -127,7 +138,7 @@ class Finder:
         quoted = "'" in line or '"' in line or "`" in line
         if _RUN.search(line):
             for m in _TOKEN.finditer(line):
-                if not self.placeholder(m[0]) and not re.search(r"x{6,}|X{6,}", m[0]) and len(set(m[0])) > 8:
+                if self.ratio(m[0]) <= UNUSUAL and not self.placeholder(m[0]) and not re.search(r"x{6,}|X{6,}", m[0]) and len(set(m[0])) > 8:
                     add(m, 0)
             if "basic" in low:
                 for m in _BASIC.finditer(line):
@@ -170,8 +181,10 @@ class Finder:
             for k in _KEYWORD.finditer(line):
                 m = _VALUE.match(line, _NAME_RIGHT.match(line, k.end()).end())
                 if m:
-                    left = max(0, k.start() - 80)
-                    name = _NAME_LEFT.search(line[left : k.start()])[0] + line[k.start() : _NAME_RIGHT.match(line, k.end()).end()]
+                    left = k.start()
+                    while left and (line[left - 1].isalnum() or line[left - 1] in "_.$-"):
+                        left -= 1
+                    name = line[left : _NAME_RIGHT.match(line, k.end()).end()]
                     if self._named(name, m["v"][1:-1]):
                         add(m, "v", True)
             if _AWS.search(line):
@@ -187,9 +200,10 @@ class Finder:
             if self._named(m["name"], v):
                 a = m.start("v") + (m["v"][:1] in "\"'")
                 out.append((a, a + len(v)))
-        for m in _EXPORT.finditer(line):
-            if self._named(m["name"], m["v"]):
-                add(m, "v")
+        for rx in (_EXPORT, _PREFIX) if "=" in line else ():
+            for m in rx.finditer(line):
+                if self._named(m["name"], m["v"]):
+                    add(m, "v")
         if "curl" in low:
             for m in _CURL.finditer(line):
                 if self._plain(m[2]) and not re.match(r"[$<{]", m[2]):
@@ -206,7 +220,7 @@ class Finder:
             plain = base64.b64decode(coded + "=" * (-len(coded) % 4), validate=False).decode()
         except (binascii.Error, ValueError):
             return False
-        return bool(re.fullmatch(r"[\x20-\x7e]+:[\x20-\x7e]{4,}", plain)) and not self.placeholder(plain.split(":", 1)[1])
+        return bool(re.fullmatch(r"[\x20-\x7e]+:[\x20-\x7e]{4,}", plain)) and not self.placeholder(plain.split(":", 1)[1]) and self.ratio(coded) <= UNUSUAL
 
     def _call(self, m: re.Match, out: list[tuple[int, int]]) -> None:
         strings = list(re.finditer(_STR, m[1]))
@@ -238,21 +252,36 @@ class Finder:
         starts |= {low.rfind("\n", 0, m.start()) + 1 for m in _JOIN.finditer(text)}
         return sorted(starts)
 
+    def _key(self, text: str, begin: int) -> list[tuple[int, int]]:
+        """The parts of a private key whose header ends at ``begin``; none if there is no key. What
+        joins them (quotes, commas, line breaks, comment marks) belongs to the code around. A key
+        without an end ends with its last line of such parts."""
+        end = _PEM_END.search(text, begin)
+        other = _PEM.search(text, begin)
+        closed = end is not None and (other is None or end.start() < other.start())
+        parts, at = [], begin
+        for m in _PEM_PART.finditer(text, begin, end.start() if closed else other.start() if other else len(text)):
+            if not closed and (text.count("\n", at, m.start()) > 2 or _PEM_BREAK.search(text, at, m.start()) or (len(m[0]) < 16 and not (parts and "=" in m[0]))):
+                break
+            parts.append(m.span())
+            at = m.end()
+        whole = "".join(text[a:b] for a, b in parts)
+        return parts if len(whole) >= 40 and len(set(whole)) > 12 and self.ratio(whole) <= UNUSUAL else []
+
     def find(self, text: str | None, settings: bool = False) -> list[tuple[int, int, int]]:
-        """(line from 1, start, end) of each secret, by position."""
+        """(line from 1, start, end) of each secret, by position. Of a secret in several parts only
+        the first has the line on which it begins, the others 0."""
         if not text:
             return []
         breaks = [m.end() for m in re.finditer("\n", text)]
         out: list[tuple[int, int, int]] = []
         pem: list[tuple[int, int]] = []
-        for m in _PEM.finditer(text):
-            end = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----").search(text, m.end())
-            stop = end.start() if end else min(len(text), m.end() + 4000)
-            body = re.sub(r"\\[nr]|[\s\"'`+\;,]", "", text[m.end() : stop])
-            b64 = re.match(r"[A-Za-z0-9+/=:-]*", body)[0]
-            if len(b64) >= 40 and len(set(b64)) > 12:
-                out.append((bisect_right(breaks, m.start()) + 1, m.end(), stop))
-                pem.append((m.start(), stop))
+        for m in _PEM.finditer(text) if "PRIVATE KEY" in text else ():
+            parts = self._key(text, m.end())
+            if parts:
+                no = bisect_right(breaks, m.start()) + 1
+                out += [(0 if i else no, a, b) for i, (a, b) in enumerate(parts)]
+                pem.append((m.start(), parts[-1][1]))
         for a in self._lines(text):
             b = text.find("\n", a)
             b = len(text) if b < 0 else b
@@ -261,14 +290,11 @@ class Finder:
             line = text[a:b]
             if not _MARKED.search(line) and not _STRONG_RX.search(line) and not _RUN.search(line):
                 continue
-            if len(line) > 5000:
-                spans = [x for i in range(0, len(line), 4000) for x in [(s + i, e + i) for s, e in self._line(line[i : i + 5000], settings)]]
-            else:
-                spans = self._line(line, settings)
+            spans = self._line(line, settings)
             no = bisect_right(breaks, a) + 1
             out += [(no, a + s, a + e) for s, e in spans]
             if not spans and self._joined(line, settings):
-                out += [(no, a + s.start() + 1, a + s.end() - 1) for s in re.finditer(_STR, line) if s.end() - s.start() > 2]
+                out += [(0 if i else no, a + s.start() + 1, a + s.end() - 1) for i, s in enumerate(x for x in re.finditer(_STR, line) if x.end() - x.start() > 2)]
         return sorted(set(out), key=lambda x: (x[1], x[2]))
 
 
@@ -294,7 +320,7 @@ def find(files: DataFrame, key: str = "file_id", source: str = "source", lang: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Finder(vocabulary)
         for b in batches:
-            rows = [(k, no) for k, c, s in zip(b["k"], b["c"], b["s"], strict=True) for no in dict.fromkeys(x[0] for x in f.find(s, c))]
+            rows = [(k, no) for k, c, s in zip(b["k"], b["c"], b["s"], strict=True) for no in dict.fromkeys(x[0] for x in f.find(s, c) if x[0])]
             yield pd.DataFrame(rows, columns=[key, "line_no"])
 
     return df.mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, line_no int")
@@ -308,6 +334,6 @@ def redacted(files: DataFrame, key: str = "file_id", source: str = "source", lan
         f = Finder(vocabulary)
         for b in batches:
             found = [f.find(s if isinstance(s, str) else None, c) for c, s in zip(b["c"], b["s"], strict=True)]
-            yield pd.DataFrame({key: b["k"], "n_secrets": [len(x) for x in found], source: [redact(s if isinstance(s, str) else None, x) for s, x in zip(b["s"], found, strict=True)]})
+            yield pd.DataFrame({key: b["k"], "n_secrets": [sum(1 for y in x if y[0]) for x in found], source: [redact(s if isinstance(s, str) else None, x) for s, x in zip(b["s"], found, strict=True)]})
 
     return df.mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, n_secrets int, {source} string")
