@@ -1,9 +1,10 @@
 """Texts cut into pieces under a limit of tokens, at natural boundaries, with overlap.
 
-A text is read into a tree: headings, then blocks (paragraphs, list items, table rows, fenced
-code), then lines, sentences, and words. From the bottom up, neighbouring siblings are put together
-as long as they stay under the limit; only a node larger than the limit is opened. Sizes are sums
-over the tokenizer's pre-tokens, and cuts fall between pre-tokens, so they are exact.
+A text is read into a tree: headings within headings, then blocks (paragraphs, tables, fenced code),
+lists within lists, lines, sentences, and words. Only a node larger than the limit is opened; what
+its children come to is put together from the bottom up, neighbour by neighbour, as long as it stays
+under the limit. Sizes are sums over the tokenizer's pre-tokens, and cuts fall between pre-tokens
+where there are any, so they are exact.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n(?:.*\n)*?[ \t]*\1[ \t]*(?:\n|\Z
 _HEADING = re.compile(r"^(?:(#{1,6})[ \t]+\S[^\n]*|([^\s#>|*+-][^\n]*)\n(=+|-{3,})[ \t]*|<[hH]([1-6])\b[^\n]*)$", re.MULTILINE)
 _LEVELS = (
     re.compile(r"\n[ \t]*\r?\n\s*"),  # blocks
-    re.compile(r"\n(?=[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S)"),  # top list items and their like
+    re.compile(r"\n([ \t]*)(?=(?:[-*+•]|\d+[.)])[ \t]+\S)"),  # list items
     re.compile(r"\n"),  # lines, table rows
     re.compile(r"(?<=[.!?…][\"')\]])\s+|(?<=[.!?…;])\s+|(?<=[。！？；])"),  # sentences
     re.compile(r"(?<=[,:、，)])\s*(?=\S)|\s+"),  # clauses and words
@@ -59,19 +60,39 @@ class Splitter:
         if (total is not None and total <= self.limit) or (total is None and (total := self.words.count(text)) <= self.limit):
             return [(0, len(text), total, 0)]
         ends, upto = self._measure(text)
-        budget = self.limit - self.overlap
-        cuts = self._cuts(text, ends, upto, budget)
+        cuts = self._cuts(text, ends, upto, self.limit - self.overlap)
         out = []
-        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(text)], strict=True)):
-            start, shared = a, 0
-            if i and self.overlap and a in self._at:
-                # whole pre-tokens before the cut, as many as fit into the overlap, from a word's start
-                k = self._at[a]
-                j = bisect_left(upto, upto[k] - self.overlap, 0, k + 1)
-                start, shared = ends[j], upto[k] - upto[j]
-            out.append((start, b, self._size(text, ends, upto, start, b), shared))
+        at = 0
+        for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+            start = self._back(text, ends, upto, a, at) if a and self.overlap else a
+            n = self._size(text, ends, upto, start, b)
+            while n > self.limit and start < a:  # subwords may fall otherwise where a pre-token is cut
+                start = min(a, start + 1 + (n - self.limit))
+                n = self._size(text, ends, upto, start, b)
+            out.append((start, b, n, self._size(text, ends, upto, start, a) if start < a else 0))
+            at = a
         return out
 
+    def _back(self, text: str, ends: list[int], upto: list[int], cut: int, least: int) -> int:
+        """Where the overlap before ``cut`` starts: whole pre-tokens as far as they fit, and inside a
+        pre-token that is larger than what is left, characters. Never before ``least``, the start of
+        the piece before."""
+        k = self._at.get(cut)
+        room, start = self.overlap, cut
+        if k is not None:
+            j = bisect_left(upto, upto[k] - room, 0, k + 1)
+            start, room = ends[j], room - (upto[k] - upto[j])
+        if room * 2 >= self.overlap and start > least:
+            first = max(least, ends[bisect_right(ends, start - 1) - 1])
+            lo, step = start, 1
+            while lo - step >= first and self.words.count(text[lo - step : start]) <= room:
+                step *= 2
+            lo = max(first, lo - step)
+            while lo < start and self.words.count(text[lo:start]) > room:
+                lo += max(1, (start - lo) // 16)
+            start = lo
+        return max(start, least)
+
     def _size(self, text: str, ends: list[int], upto: list[int], a: int, b: int) -> int:
         i, j = self._at.get(a), self._at.get(b)
         if i is None or j is None:
@@ -92,77 +113,73 @@ class Splitter:
             """The pre-token boundary at or before a character."""
             return ends[bisect_right(ends, c) - 1]
 
-        cuts: list[int] = []
-        extra: list[int] = []
-        room = [0]
-
-        def emit(a: int, b: int) -> None:
-            """Put [a, b) (within the budget) behind what was emitted before."""
-            n = size(a, b)
-            if a and room[0] + n > budget:
-                cuts.append(a)
-                room[0] = 0
-            room[0] += n
-
-        def merged(parts: list[tuple[int, int]], level: int) -> None:
-            """Siblings from left to right: together while they fit, the oversized opened. A group of
-            siblings that fits into a piece of its own isn't torn by what came before it."""
-            i = 0
-            while i < len(parts):
-                a, b = parts[i]
-                if size(a, b) > budget:
-                    open_node(a, b, level)
-                    i += 1
-                    continue
-                j = i
-                while j + 1 < len(parts) and size(a, parts[j + 1][1]) <= budget:
-                    j += 1
-                emit(a, parts[j][1])
-                i = j + 1
-
-        def open_node(a: int, b: int, level: int) -> None:
-            body = text[a:b]
-            if level < 0:
-                parts = self._sections(body)
-            elif level < len(_LEVELS):
-                marks = [m.end() for m in _LEVELS[level].finditer(body)]
-                if level < 3:
-                    fences = [m.span() for m in _FENCE.finditer(body)]
-                    if fences and not (len(fences) == 1 and fences[0][1] - fences[0][0] > 0.9 * len(body)):
-                        marks = [x for x in marks if not any(s < x < e for s, e in fences)] + [x for f in fences for x in f]
-                parts = marks
-            else:
-                hard(a, b)
-                return
-            at = sorted({snap(a + x) for x in parts if 0 < x < len(body)} - {a, b})
-            if not at:
-                open_node(a, b, level + 1)
-                return
-            merged(list(zip([a, *at], [*at, b], strict=True)), level + 1)
-
-        def hard(a: int, b: int) -> None:
+        def merged(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+            """Neighbours put together from left to right as long as they fit."""
+            out: list[tuple[int, int, int]] = []
+            for a, b, n in parts:
+                if out and out[-1][2] + n <= budget:
+                    out[-1] = (out[-1][0], b, out[-1][2] + n)
+                else:
+                    out.append((a, b, n))
+            return out
+
+        def opened(a: int, b: int, level: int) -> list[tuple[int, int, int]]:
+            """An oversized node as (start, end, tokens) of its parts: its children, the oversized
+            among them opened first, put together."""
+            while True:
+                at = sorted({snap(a + x) for x in self._parts(text[a:b], level) if 0 < x < b - a} - {a, b})
+                if at:
+                    break
+                level += 1
+                if level == len(_LEVELS):
+                    return hard(a, b)
+            below = level if level in (-1, 1) else level + 1  # headings and lists nest
+            out: list[tuple[int, int, int]] = []
+            for x, y in zip([a, *at], [*at, b], strict=True):
+                n = size(x, y)
+                out += [(x, y, n)] if n <= budget else opened(x, y, below)
+            return merged(out)
+
+        def hard(a: int, b: int) -> list[tuple[int, int, int]]:
             """No boundary is left: between pre-tokens, or inside a single oversized one."""
             i, last = self._at[a], self._at[b]
+            out: list[tuple[int, int, int]] = []
             while i < last:
                 j = bisect_right(upto, upto[i] + budget, i, last + 1) - 1
                 if j > i:
-                    emit(ends[i], ends[j])
+                    out.append((ends[i], ends[j], upto[j] - upto[i]))
                     i = j
                     continue
-                run = text[ends[i] : ends[i + 1]]
-                at = 0
-                while at < len(run):
-                    step = len(run) - at
-                    while step > 1 and self.words.count(run[at : at + step]) > budget:
-                        step = max(1, step * 3 // 4)
-                    if ends[i] + at:
-                        extra.append(ends[i] + at)
-                    at += step
-                room[0] = budget  # whatever follows starts a new piece
+                x, stop = ends[i], ends[i + 1]
+                while x < stop:
+                    step = min(stop - x, budget * 8)
+                    while step > 1 and self.words.count(text[x : x + step]) > budget:
+                        step = max(1, step * 7 // 8)
+                    out.append((x, x + step, budget))  # nothing is put beside it
+                    x += step
                 i += 1
+            return out
 
-        open_node(0, len(text), -1)
-        return sorted(set(cuts) | set(extra))
+        return [a for a, _, _ in opened(0, len(text), -1)[1:]]
+
+    @staticmethod
+    def _parts(body: str, level: int) -> list[int]:
+        """Where the children of a node start, at one level of the tree."""
+        if level < 0:
+            return Splitter._sections(body)
+        found = list(_LEVELS[level].finditer(body))
+        if level == 1:
+            # items of the outermost list only; those inside come with their own item
+            inner = [(len(m[1].expandtabs(4)), m.end(0) - len(m[1])) for m in found]
+            least = min((n for n, _ in inner), default=0)
+            marks = [x for n, x in inner if n == least]
+        else:
+            marks = [m.end() for m in found]
+        if level < 3:
+            fences = [m.span() for m in _FENCE.finditer(body)]
+            if fences and not (len(fences) == 1 and fences[0][1] - fences[0][0] > 0.9 * len(body)):
+                marks = [x for x in marks if not any(s < x < e for s, e in fences)] + [x for f in fences for x in f]
+        return marks
 
     @staticmethod
     def _sections(body: str) -> list[int]:
