@@ -1,8 +1,9 @@
 """Functions paired with their documentation.
 
-``extract`` works on source files: signatures by regular expression, bodies by an indentation or
-brace stack, and the comment whose lines lie next to the signature. ``telling`` judges a piece of
-documentation: it must say something beyond the function's name and its parameters' names.
+``extract`` works on source files: signatures by regular expression, bodies by a stack of
+indentations, braces or begin and end keywords, and the comment whose lines lie next to the
+signature. ``telling`` judges a piece of documentation: it must say something beyond the function's
+name and its parameters' names. ``documented`` finds the nodes of the functions so extracted.
 """
 
 from __future__ import annotations
@@ -193,14 +194,20 @@ class Found:
 _PY_DEF = re.compile(r"^([ \t]*)(async[ \t]+)?(def|class)[ \t]+([^\W\d]\w*)[ \t]*")
 _JAVA_SIG = re.compile(r"^[ \t]*(?:@[\w.]+(?:\([^)\n]*\))?[ \t]+)*((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)[ \t]+)*(?:<[^>\n]+>[ \t]+)?(?:[\w$.]+(?:<[^;{}()\n]*>)?(?:\[\])*[ \t]+)?([\w$]+)[ \t]*\(([^;{}]*?)\)(?:[ \t\r\n]*throws[ \t\r\n]+[\w.,<> \t\r\n]+)?)[ \t\r\n]*([{;])", re.MULTILINE)
 _JS_SIG = re.compile(r"^[ \t]*((?:(?:export|default|public|private|protected|static|readonly|abstract|override|declare|async)[ \t]+)*(?:function[ \t]*\*?[ \t]*|get[ \t]+|set[ \t]+|\*[ \t]*)?([\w$#]+)[ \t]*(?:<[^(){}\n]*>)?\(([^;{}]*?(?:\{[^{}]*\}[^;{}]*?)*)\)(?:[ \t]*:[ \t]*[^;{}=\n]+)?)[ \t\r\n]*\{|^[ \t]*((?:export[ \t]+)?(?:const|let|var)[ \t]+([\w$]+)[^=\n]*=[ \t]*(?:async[ \t]*)?(?:\([^;{}]*?\)|[\w$]+)(?:[ \t]*:[^={}\n]+)?[ \t]*=>)[ \t\r\n]*\{", re.MULTILINE)
+#: A declaration without a body, with the type it returns.
+_TS_DECLARED = re.compile(r"^[ \t]*((?:(?:export|declare|public|private|protected|abstract|static|readonly|function)[ \t]+)*([\w$]+)\??[ \t]*(?:<[^(){}\n]*>)?\(([^;{}]*?(?:\{[^{}]*\}[^;{}]*?)*)\)[ \t]*:[ \t]*[^;{}=\n]+);", re.MULTILINE)
 _CLASS = re.compile(r"^[ \t]*(?:@\w+(?:\([^)\n]*\))?[ \t]+)*(?:(?:public|protected|private|static|final|abstract|sealed|export|default|declare|strictfp)[ \t]+)*(?:class|interface|enum|record|@interface|namespace)[ \t]+([\w$]+)", re.MULTILINE)
 _NOT_FUNCTIONS = frozenset("if for while switch catch synchronized return new else do try throw assert super this function with".split())
 _BLANKS = re.compile(r"\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|//[^\n]*|/\*[\s\S]*?\*/")
 
 
-def _masked(source: str) -> str:
+#: In scripts a slash after an operator starts a regular expression, which may hold quotes and braces.
+_SCRIPT_BLANKS = re.compile(_BLANKS.pattern + r"|(?<=[=(,:\[!&|?;])[ \t]*/(?![*/ ])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+
+
+def _masked(source: str, lang: str = "java") -> str:
     """Strings and comments blanked out, offsets and lines kept."""
-    return _BLANKS.sub(lambda m: re.sub(r"[^\n\r]", " ", m[0]), source)
+    return (_BLANKS if lang == "java" else _SCRIPT_BLANKS).sub(lambda m: re.sub(r"[^\n\r]", " ", m[0]), source)
 
 
 def _comments(source: str) -> dict[int, tuple[int, str]]:
@@ -214,7 +221,7 @@ def _comments(source: str) -> dict[int, tuple[int, str]]:
 
 
 def _braced(source: str, lang: str) -> list[Found]:
-    flat = _masked(source)
+    flat = _masked(source, lang)
     line_of = lambda p: source.count("\n", 0, p) + 1
     ends: dict[int, int] = {}
     stack: list[int] = []
@@ -232,8 +239,13 @@ def _braced(source: str, lang: str) -> list[Found]:
     notes = _comments(source)
     lines = source.split("\n")
     out = []
-    for m in (_JAVA_SIG if lang == "java" else _JS_SIG).finditer(flat):
-        if lang == "java":
+    found = list((_JAVA_SIG if lang == "java" else _JS_SIG).finditer(flat))
+    if lang == "typescript":
+        found = sorted([*found, *_TS_DECLARED.finditer(flat)], key=lambda m: m.start())
+    for m in found:
+        if m.re is _TS_DECLARED:
+            sig, name, stop = source[m.start(1) : m.end(1)], m[2], m.end()
+        elif lang == "java":
             sig, name, opener = source[m.start(1) : m.end(1)], m[2], m.end() - 1
             stop = ends.get(opener, len(flat)) if m[4] == "{" else m.end()
             # a call ends in ';' too; a declaration has a type before its name
@@ -338,22 +350,70 @@ def _indented(source: str) -> list[Found]:
     return sorted(out, key=lambda f: f.start_line)
 
 
+_SQL_SIG = re.compile(r"^[ \t]*CREATE\s+(?:OR\s+REPLACE\s+)?(?:FUNCTION|PROCEDURE)\s+((?:[\w\"`]+\.)*([\w\"`]+)\s*\(([^;]*?)\)(?:\s*RETURNS\s+[\w.\[\]()]+)?)", re.IGNORECASE | re.MULTILINE)
+_SQL_WORD = re.compile(r"'(?:[^']|'')*'|--[^\n]*|/\*[\s\S]*?\*/|\$(\w*)\$[\s\S]*?\$\1\$|\b(BEGIN|CASE|LOOP|END(?:\s+(?:IF|LOOP|CASE|WHILE|REPEAT))?|IF|WHILE|REPEAT)\b|(;)", re.IGNORECASE)
+
+
+def _keyworded(source: str) -> list[Found]:
+    """Functions and procedures of SQL. A body is quoted by dollars, or runs from its first keyword
+    that opens a block to the END of it; without either it ends with the statement."""
+    lines = source.split("\n")
+    line_of = lambda p: source.count("\n", 0, p) + 1
+    out = []
+    for m in _SQL_SIG.finditer(source):
+        stack, stop = 0, len(source)
+        for w in _SQL_WORD.finditer(source, m.end()):
+            word = (w[2] or "").upper().split()
+            if not word and not w[3]:
+                if w[0].startswith("$"):
+                    stop = w.end()
+                    break
+                continue
+            if w[3]:
+                if not stack:
+                    stop = w.start()
+                    break
+            elif word[0] == "END":
+                # END alone closes a block or a CASE, END LOOP its loop; an IF or WHILE has an END of its own
+                stack -= 1
+                if stack <= 0:
+                    stop = w.end()
+                    break
+            elif word[0] == "WHILE" or (word[0] == "IF" and not stack):
+                continue  # counted by its LOOP, or a clause of the header
+            else:
+                stack += 1
+        first = line_of(m.start() + len(m[0]) - len(m[0].lstrip()))
+        at = first - 1
+        above: list[str] = []
+        while at >= 1 and lines[at - 1].lstrip().startswith("--"):
+            above.insert(0, lines[at - 1])
+            at -= 1
+        doc = "\n".join(above) or None
+        if doc is None and (b := re.search(r"/\*(?:(?!\*/)[\s\S])*\*/[ \t\r]*\n?[ \t\r]*\Z", source[: m.start()])):
+            doc = b[0].strip()
+        out.append(Found(m[2].strip("\"`"), m[1].split("(")[0].strip(), " ".join(m[1].split()), doc, first, line_of(min(stop, len(source) - 1))))
+    return out
+
+
 def functions_of(lang: str | None, source: str | None) -> list[Found]:
-    """Functions and methods of one file with the documentation next to them. Languages without
-    functions here (SQL, settings), null and empty sources give none."""
+    """Functions and methods of one file with the documentation next to them. Settings files, null
+    and empty sources give none."""
     if not source or not lang:
         return []
     if lang == "python":
         return _indented(source)
     if lang in ("java", "javascript", "typescript"):
         return _braced(source, lang)
+    if lang == "sql" and ("create" in source or "CREATE" in source or "Create" in source):
+        return _keyworded(source)
     return []
 
 
 def extract(files: DataFrame, key: str = "file_id", lang: str = "lang", source: str = "source") -> DataFrame:
     """(key, fqn, name, signature, docstring, start_line, end_line) of every documented function,
     those with empty or trivial documentation left out."""
-    df = files.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(source).alias("s")).filter("l in ('java', 'python', 'javascript', 'typescript') and s is not null")
+    df = files.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(source).alias("s")).filter("l in ('java', 'python', 'javascript', 'typescript', 'sql') and s is not null")
     cols = [key, "fqn", "name", "signature", "docstring", "start_line", "end_line"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,15 +429,38 @@ def extract(files: DataFrame, key: str = "file_id", lang: str = "lang", source:
     return df.mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, fqn string, name string, signature string, docstring string, start_line int, end_line int")
 
 
-def documented(nodes: DataFrame) -> DataFrame:
-    """(id, fqn, signature, docstring): Function nodes with a signature and telling documentation.
+def places(files: DataFrame) -> DataFrame:
+    """(repo, file, name, start_line) of every function extracted from a source file together with
+    telling documentation. A file scanned twice counts once; the sources themselves aren't moved."""
+    df = files.select("repo", F.col("relpath").alias("file"), "lang", "source").filter("lang is not null and source is not null and repo is not null and relpath is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [
+                (repo, path, f.name, f.start_line)
+                for repo, path, lg, s in zip(b["repo"], b["file"], b["lang"], b["source"], strict=True)
+                for f in functions_of(lg, s)
+                if telling(f.docstring, f.name, f.signature)
+            ]
+            yield pd.DataFrame(rows, columns=["repo", "file", "name", "start_line"])
+
+    return df.mapInPandas(run, "repo string, file string, name string, start_line int").distinct()
+
+
+def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, fqn, signature, docstring): Function nodes with a signature whose function is found in
+    its source file together with telling documentation.
 
-    A node written more than once counts as written last; of rows with the same time the one with
-    the longest documentation. Null or blank signatures and documentation leave a node out.
+    A function is found by repository, file, name and first line. A node written more than once
+    counts as written last; of rows with the same time the one with the longest documentation. What
+    the node kept of the documentation must be telling as well (it may have been cut, or taken from
+    another scan); null or blank signatures and documentation leave a node out.
     """
-    n = nodes.filter(F.col("label") == "Function").select("id", "name", "fqn", "signature", "docstring", "last_indexed")
-    n = n.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct("name", "fqn", "signature", "docstring"), F.struct("last_indexed", F.length("docstring"), "docstring")).alias("n")).select("id", "n.*")
+    own = ["name", "fqn", "signature", "docstring", "repo", "file", "start_line"]
+    n = nodes.filter(F.col("label") == "Function").select("id", *own, "last_indexed")
+    n = n.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct(*own), F.struct("last_indexed", F.length("docstring"), "docstring")).alias("n")).select("id", "n.*")
     n = n.filter((F.trim(F.coalesce("signature", F.lit(""))) != "") & (F.trim(F.coalesce("docstring", F.lit(""))) != ""))
+    n = n.join(places(files), ["repo", "file", "name", "start_line"], "left_semi").select("id", "name", "fqn", "signature", "docstring")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -35,7 +35,7 @@ BLOCK_CHARS = 2_000_000
 #: Texts embedded together, in characters.
 CHUNK_CHARS = 1_500_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|&(?:[a-z]{2,8}|#\d{1,6});")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&(?:[a-z]{2,8}|#\d{1,6});")
 _GONE = re.compile("[­​‌‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")

@@ -71,6 +71,8 @@ _SLASHED = re.compile(r"(?i)\b(?:as|user|login|account|with|under)\s+[\w.@-]+\s*
 _JOIN = re.compile(r"([\"'`])\s*(?:\+|\.)\s*[\"'`]")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: From a key's header to its first part.
+_PEM_GAP = re.compile(r"PRIVATE KEY(?: BLOCK)?-----(?:\\[nrt]|[^\w\\]|(?:Proc-Type|DEK-Info|Version|Comment|Hash): [^\n\\]*)*")
 #: A run of base64: a long one anywhere, a short one only alone between quotes or on its line.
 _PEM_PART = re.compile(r"(?:(?<=\\n)|(?<=\\r)|(?<![\w.\\+/]))(?:[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,15}={0,2}(?=[\"'`\\]|[ \t,;]*(?:\r?\n|\Z)))(?![\w:(])")
 #: Code after a key that has no end.
@@ -269,8 +271,8 @@ class Finder:
         return parts if len(whole) >= 40 and len(set(whole)) > 12 and self.ratio(whole) <= UNUSUAL else []
 
     def find(self, text: str | None, settings: bool = False) -> list[tuple[int, int, int]]:
-        """(line from 1, start, end) of each secret, by position. Of a secret in several parts only
-        the first has the line on which it begins, the others 0."""
+        """(line from 1, start, end) of each secret, by position. A secret put together from several
+        strings on its line has a span for each, the first of them with the line, the others with 0."""
         if not text:
             return []
         breaks = [m.end() for m in re.finditer("\n", text)]
@@ -280,7 +282,7 @@ class Finder:
             parts = self._key(text, m.end())
             if parts:
                 no = bisect_right(breaks, m.start()) + 1
-                out += [(0 if i else no, a, b) for i, (a, b) in enumerate(parts)]
+                out.append((no, parts[0][0], parts[-1][1]))
                 pem.append((m.start(), parts[-1][1]))
         for a in self._lines(text):
             b = text.find("\n", a)
@@ -300,13 +302,21 @@ class Finder:
 
 def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     """``text`` with the letters and digits of each span replaced by '*'; everything else keeps its
-    place, so line ends, quotes and escapes inside a span stay."""
+    place, so line ends, quotes and escapes inside a span stay. Of a private key only the runs of
+    base64 are masked: commas, plus signs and comment marks between its strings are code."""
     if text is None:
         return None
     out, at = [], 0
     for _, a, b in spans:
         a = max(a, at)
-        if b > a:
+        if b <= a:
+            continue
+        head = text.rfind("PRIVATE KEY", 0, a)
+        if head >= 0 and _PEM_GAP.fullmatch(text, head, a):
+            for m in _PEM_PART.finditer(text, a, b):
+                out += [text[at : m.start()], "*" * len(m[0])]
+                at = m.end()
+        else:
             out += [text[at:a], re.sub(r"\\[nrt]|[^\s\"'`+\\]", lambda m: m[0] if m[0][0] == "\\" else "*", text[a:b])]
             at = b
     return "".join(out) + text[at:]
@@ -326,14 +336,17 @@ def find(files: DataFrame, key: str = "file_id", source: str = "source", lang: s
     return df.mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, line_no int")
 
 
-def redacted(files: DataFrame, key: str = "file_id", source: str = "source", lang: str = "lang", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(key, n_secrets, source) of every row, secrets masked in place; null sources stay null."""
-    df = files.select(F.col(key).alias("k"), F.col(lang).isNull().alias("c"), F.col(source).alias("s"))
+def redacted(files: DataFrame, key: str = "file_id", source: str = "source", lang: str = "lang", vocabulary: str = DEFAULT_VOCABULARY, keep: bool = False) -> DataFrame:
+    """(key, n_secrets, source) of every row, secrets masked in place; null sources stay null.
+    ``keep`` adds the language and the source as it was, as ``original``."""
+    df = files.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(source).alias("s"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Finder(vocabulary)
         for b in batches:
-            found = [f.find(s if isinstance(s, str) else None, c) for c, s in zip(b["c"], b["s"], strict=True)]
-            yield pd.DataFrame({key: b["k"], "n_secrets": [sum(1 for y in x if y[0]) for x in found], source: [redact(s if isinstance(s, str) else None, x) for s, x in zip(b["s"], found, strict=True)]})
+            texts = [s if isinstance(s, str) else None for s in b["s"]]
+            found = [f.find(s, not isinstance(lg, str)) for lg, s in zip(b["l"], texts, strict=True)]
+            out = {key: b["k"], "n_secrets": [sum(1 for y in x if y[0]) for x in found], source: [redact(s, x) for s, x in zip(texts, found, strict=True)]}
+            yield pd.DataFrame(out | ({lang: b["l"], "original": texts} if keep else {}))
 
-    return df.mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, n_secrets int, {source} string")
+    return df.mapInPandas(run, f"{key} {dict(files.dtypes)[key]}, n_secrets int, {source} string" + (f", {lang} string, original string" if keep else ""))

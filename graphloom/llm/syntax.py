@@ -7,8 +7,6 @@ Python worker, so a state is derived once per worker; so do the classes of token
 from __future__ import annotations
 
 import re
-import warnings
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -152,11 +150,13 @@ def _indent(ws: str) -> int:
     return n
 
 
-def _layout(tokens: list[str], classes: list[str]) -> list[str]:
-    """Python's NEWLINE, INDENT and DEDENT tokens."""
+def _layout(tokens: list[str], classes: list[str]) -> tuple[list[str], list[int]]:
+    """Python's NEWLINE, INDENT and DEDENT tokens, and the raw token each belongs to."""
     out: list[str] = []
+    origin: list[int] = []
     levels, depth, after = [0], 0, True
-    for t, c in zip(tokens, classes, strict=True):
+    for i, (t, c) in enumerate(zip(tokens, classes, strict=True)):
+        origin += [i] * (len(out) - len(origin))
         first = c[0] if c else "\n"
         if first in "\r\n":
             if depth:
@@ -186,7 +186,7 @@ def _layout(tokens: list[str], classes: list[str]) -> list[str]:
     if not after:
         out.append("NEWLINE")
     out += ["DEDENT"] * (len(levels) - 1)
-    return out
+    return out, origin + [len(tokens)] * (len(out) - len(origin))
 
 
 def tokens_of(lang: str, source: str) -> list[str]:
@@ -207,16 +207,16 @@ def check(lang: str, source: str | None) -> Verdict:
     master, classes, parser = _tool(lang)
     toks = tokens_of(lang, source)
     cls = list(map(classes.__getitem__, toks))
-    newline = None
+    newline, origin = None, None
     if lang == "python":
         lead = re.match(r"(?:[ \t\f]*(?:#[^\n\r]*)?(?:\r\n?|\n))*([ \t\f]*)", source)
         if toks and toks[0][0] not in "\r\n" and lead[1]:
             return Verdict(False, "token", 0)
-        cls = _layout(toks, cls)
+        cls, origin = _layout(toks, cls)
     elif lang in ("javascript", "typescript"):
         if PAIR in cls:
             flat: list[str] = []
-            origin: list[int] = []
+            origin = []
             for i, (t, c) in enumerate(zip(toks, cls, strict=True)):
                 if c is PAIR:
                     m = _JS_PAIR.match(t)
@@ -227,8 +227,6 @@ def check(lang: str, source: str | None) -> Verdict:
                     flat.append(c)
                     origin.append(i)
             cls = flat
-        else:
-            origin = None
         ends: list = []
 
         def newline(i: int) -> bool:
@@ -240,53 +238,43 @@ def check(lang: str, source: str | None) -> Verdict:
 
     elif lang == "sql" and all(c in (";",) for c in cls):
         return Verdict(True)
-    return parser.parse(cls, newline)
-
-
-def _python_compiles(source: str) -> bool:
-    """The exact check for Python: the interpreter's own parser."""
-    import ast
-
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(source)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
+    v = parser.parse(cls, newline)
+    if v.ok or origin is None:
+        return v
+    return Verdict(False, v.kind, origin[v.at] if v.at < len(origin) else len(toks))
 
 
 def verdict(lang: str | None, source: str | None) -> Verdict:
-    """The derivative parser's verdict; for Python a rejection is confirmed by the exact parser."""
-    if lang is None:
-        return Verdict(True)
-    v = check(lang, source)
-    if not v.ok and lang == "python" and _python_compiles(source):
-        return Verdict(True)
-    return v
+    """The derivative parser's verdict; ``at`` is the raw token whose derivative is empty."""
+    return Verdict(True) if lang is None else check(lang, source)
 
 
-def line_of_token(lang: str, source: str, index: int) -> int:
-    """Line (from 1) of a token, by index into the raw tokens."""
-    starts = [m.start(1) for m in _MASTER[lang].finditer(source)]
-    breaks = [m.end() for m in re.finditer(r"\n", source)]
-    at = starts[index] if 0 <= index < len(starts) else len(source)
-    return bisect_right(breaks, at) + 1
+def place(lang: str, source: str, v: Verdict) -> tuple[int, str | None]:
+    """Line (from 1) and text of the failing token; of a text that ends too early its last line."""
+    found = list(_MASTER[lang].finditer(source))
+    if v.kind == "token" and 0 <= v.at < len(found) and found[v.at].end(1) > found[v.at].start(1):
+        m = found[v.at]
+        text = m[1]
+        at = m.start(1) + len(text) - len(text.lstrip("\r\n")) if text.strip() else m.start(1)
+        return source.count("\n", 0, at) + 1, text.strip() or None
+    return source.rstrip().count("\n") + 1, None
 
 
 def flag(files: DataFrame, key: str = "file_id", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(key, lang, ok, kind) for every row with a language: kind is 'token' for a failing token,
-    'end' for a text that ends too early, null if the source is valid.
+    """(key, lang, ok, kind, line_no, token) for every row with a language: kind is 'token' for a
+    failing token, with its line and text, 'end' for a text that ends too early, with its last line;
+    the three are null if the source is valid.
 
     Rows with a null language are left out; a null, empty or blank source is valid; unknown
     languages are valid. Columns other than the three named ones are not read.
     """
     df = files.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(source).alias("s")).filter("l is not null")
-    schema = f"{key} {dict(files.dtypes)[key]}, lang string, ok boolean, kind string"
+    schema = f"{key} {dict(files.dtypes)[key]}, lang string, ok boolean, kind string, line_no int, token string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [verdict(a, s if isinstance(s, str) else None) for a, s in zip(b["l"], b["s"], strict=True)]
-            yield pd.DataFrame({key: b["k"], "lang": b["l"], "ok": [v.ok for v in out], "kind": [v.kind or None for v in out]})
+            at = [(None, None) if v.ok else place(a, s, v) for a, s, v in zip(b["l"], b["s"], out, strict=True)]
+            yield pd.DataFrame({key: b["k"], "lang": b["l"], "ok": [v.ok for v in out], "kind": [v.kind or None for v in out], "line_no": pd.array([x for x, _ in at], dtype="Int32"), "token": [t for _, t in at]})
 
     return df.mapInPandas(run, schema)
