@@ -14,7 +14,7 @@ import json
 import uuid
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,6 +92,11 @@ class VersionedTable:
         df = self._live(self.manifest(self.latest() if version is None else version)["files"])
         return df if positions else df.drop(_FILE, _POS)
 
+    def removes(self, since: int, until: int) -> bool:
+        """Were rows removed between two versions? Told by the manifests alone."""
+        old, new = self.manifest(since)["files"], self.manifest(until)["files"]
+        return any(f not in new or set(new[f]) - set(dv) for f, dv in old.items())
+
     def changes(self, since: int, until: int) -> DataFrame:
         """Rows added and removed between two versions, as ``_change`` insert or delete. A row both
         added and removed between them doesn't appear."""
@@ -112,6 +117,18 @@ class VersionedTable:
         rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.parquet(f"{self.path}/{name}")
         return name
 
+    def stage_split(self, rows: DataFrame, by: Column, parts: int) -> list[str]:
+        """Write rows to ``parts`` folders in one pass, each row to the one that ``by`` numbers."""
+        name = f"data/{uuid.uuid4().hex}"
+        cols = [F.col(f.name).cast(f.dataType) for f in self.schema.fields]
+        rows.select(*cols, by.cast("int").alias("__part")).write.partitionBy("__part").parquet(f"{self.path}/{name}")
+        fs, _ = hadoop(self.spark, self.path)
+        made = [f"{name}/__part={i}" for i in range(parts)]
+        for m in made:
+            # a part without rows is an empty folder
+            fs.mkdirs(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{m}"))
+        return made
+
     def stage_vector(self, rows: DataFrame) -> str:
         """Write file and row numbers (as given by ``read(positions=True)``) of rows to hide."""
         name = f"dv/{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import balance, graph, hierarchy, store
 from graphloom.session import Scratch
-from graphloom.streaming.incremental import Run, take_up
+from graphloom.streaming.incremental import ChangeFeed, Run, take_up
 from graphloom.streaming.versioned import CommitConflict, VersionedTable
 
 EDGE = "type string, src string, dst string"
@@ -69,6 +70,41 @@ def test_runs_take_up_changes_and_survive_failures(spark):
     assert take_up(log, [], Scratch(spark, "t").root).count() == 0
 
 
+def test_a_run_killed_before_its_commit_is_made_up_for_by_another_session(spark, monkeypatch):
+    root = Scratch(spark, "t").root
+    first = spark.createDataFrame([(1, "scan", "f", "b1", None, None), (2, "scan", "g", "b2", None, None)], LOG)
+    feed = ChangeFeed(spark, root)
+    feed.append(first)
+    assert {r["id"] for r in feed.process(Run(1, 10, 1, False)).collect()} == {"f", "g"}
+    feed.append(spark.createDataFrame([(3, "summary", "f", None, "b1", 1), (4, "scan", "h", "b3", None, None)], LOG))
+
+    def killed(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "commit_files", killed)
+        with pytest.raises(KeyboardInterrupt):
+            feed.process(Run(2, 20, 1, False))
+    again = ChangeFeed(spark.newSession(), root)  # knows nothing but the folder
+    assert again.picks.properties()["run_no"] == 1
+    assert {r["id"] for r in again.process(Run(3, 20, 1, False)).collect()} == {"g", "h"}
+    # nothing new: the same picks, and no state is lost
+    assert {r["id"] for r in again.process(Run(4, 20, 1, False)).collect()} == {"g", "h"}
+    # late rows are in an added file, however old their number
+    again.append(spark.createDataFrame([(2, "summary", "h", None, "b3", 1)], LOG))
+    assert {r["id"] for r in again.process(Run(5, 20, 1, False)).collect()} == {"g"}
+
+
+def test_rows_taken_out_of_the_log_are_undone(spark):
+    feed = ChangeFeed(spark, Scratch(spark, "t").root)
+    feed.append(spark.createDataFrame([(1, "scan", "f", "b1", None, None), (2, "scan", "g", "b2", None, None), (3, "summary", "g", None, "b2", 1)], LOG))
+    assert {r["id"] for r in feed.process(Run(1, 10, 1, False)).collect()} == {"f"}
+    at = feed.log.latest()
+    feed.log.commit(at, hide=[feed.log.stage_vector(feed.log.read(at, positions=True).filter("write_seq = 3 or id = 'f'"))])
+    assert {r["id"] for r in feed.process(Run(2, 10, 1, False)).collect()} == {"g"}
+    assert [(r["id"], r["body"], r["summary"]) for r in feed.state._live(feed.picks.properties()["state"]).orderBy("id").collect()] == [("f", None, None), ("g", "b2", None)]
+
+
 def test_versions_and_deltas(spark):
     t = VersionedTable(spark, Scratch(spark, "v").root, spark.createDataFrame([], "id string, v int").schema)
     assert t.latest() == 0 and t.read().count() == 0
