@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.session import Scratch
 
-MAX_ROUNDS = 50
+#: Rows of two ids and a word up to which a table is sent to all tasks, after it has been counted.
+SMALL = 400_000
+#: New rows up to which a round walks HOPS steps in one job.
+FEW, HOPS = 50_000, 5
 
 
 def trusted(strategy: Column) -> Column:
@@ -16,25 +20,56 @@ def trusted(strategy: Column) -> Column:
     return (s == "bytecode") | F.startswith(s, F.lit("receiver_type")) | F.startswith(s, F.lit("same_"))
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+class Edges:
+    """Edges ready for many joins on ``key``: written once and counted; sent to all tasks if they
+    are few, else kept on the executors' disks in partitions of the key, so that only frontiers
+    move."""
+
+    def __init__(self, scratch: Scratch, edges: DataFrame, key: str):
+        self.key = key
+        written, self.n = _counted(scratch, edges, "edges")
+        self.kept = self.n > SMALL
+        self.df = written.repartition(key).persist(StorageLevel.DISK_ONLY) if self.kept else F.broadcast(written)
+
+    def follow(self, frontier: DataFrame, at: str, rows: int) -> DataFrame:
+        """Inner join of ``frontier``.``at`` with the key."""
+        f = F.broadcast(frontier) if self.kept and rows <= SMALL else frontier
+        return f.join(self.df, f[at] == self.df[self.key])
+
+    def done(self) -> None:
+        if self.kept:
+            self.df.unpersist()
+
+
+def _counted(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Write and count in one job."""
+    seen = Observation()
+    out, _ = scratch.write(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """All ids reachable from ``seeds`` over ``edges`` (src, dst), and what comes with the seed.
 
     ``seeds`` has id and any further columns (a kind, say), which are carried along, so this is
-    reachability per value of them. Semi-naive: each round joins only what is new, and is written
-    to the shared folder. Cycles end as nothing new turns up; ``max_rounds`` is a guard.
+    reachability per value of them. Semi-naive: each round joins only what is new, in one job that
+    writes to the shared folder. It ends when nothing new turns up, however long the chains are;
+    cycles end so too. Null ids and ends are left out; no seeds give an empty result.
     """
     scratch = Scratch(seeds.sparkSession, "closure")
     tags = [c for c in seeds.columns if c != "id"]
-    e = edges.select("src", "dst").dropna().distinct()
-    e, _ = scratch.write(e, "edges")
-    seen, _ = scratch.write(seeds.dropna(subset=["id"]).distinct(), "seen")
+    seen, n = _counted(scratch, seeds.dropna(subset=["id"]).distinct(), "seen")
+    e = Edges(scratch, edges.select("src", "dst").dropna().distinct(), "src")
     frontier = seen
-    for i in range(max_rounds):
-        step = frontier.join(e, frontier["id"] == e["src"]).select(F.col("dst").alias("id"), *tags).distinct()
-        fresh, _ = scratch.write(step.join(seen, ["id", *tags], "left_anti"), f"round{i}")
-        if not fresh.limit(1).count():
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
+    while n:
+        # long chains of few rows are walked several steps a job
+        level, step = frontier, None
+        for _ in range(1 if n > FEW else HOPS):
+            level = e.follow(level, "id", n).select(F.col("dst").alias("id"), *tags).distinct()
+            step = level if step is None else step.unionByName(level)
+        frontier, n = _counted(scratch, step.distinct().join(seen, ["id", *tags], "left_anti"), "round")
+        seen = seen.unionByName(frontier) if n else seen
+    e.done()
     return seen
 
 
@@ -45,17 +80,20 @@ def trails(starts: DataFrame, edges: DataFrame, max_hops: int, min_hops: int = 0
     Hop by hop self-joins; the number of walks is what the graph has, so cut hubs and edges first.
     """
     scratch = Scratch(starts.sparkSession, "trails")
-    e, _ = scratch.write(edges.select("src", "dst", F.coalesce("strategy", F.lit("")).alias("strategy")), "edges")
-    walk = starts.select(F.array("id").alias("ids"), F.array().cast("array<string>").alias("strategies"), F.col("id").alias("at"))
-    out = walk if min_hops <= 0 else None
+    e = Edges(scratch, edges.select("src", "dst", F.coalesce("strategy", F.lit("")).alias("strategy")), "src")
+    walk, n = _counted(scratch, starts.select(F.array("id").alias("ids"), F.array().cast("array<string>").alias("strategies"), F.col("id").alias("at")), "hop0")
+    out = walk if min_hops <= 0 else walk.limit(0)
     for hop in range(1, max_hops + 1):
-        n = walk.join(e, walk["at"] == e["src"])
+        if not n:
+            break
+        step = e.follow(walk, "at", n)
         # an edge is a pair of neighbours in the walk
         used = F.exists(F.arrays_zip(F.slice("ids", 1, F.size("ids") - 1).alias("a"), F.slice("ids", 2, F.size("ids")).alias("b")), lambda p: (p["a"] == F.col("src")) & (p["b"] == F.col("dst"))) if hop > 1 else F.lit(False)
-        n = n.filter(~used).select(F.concat("ids", F.array("dst")).alias("ids"), F.concat("strategies", F.array("strategy")).alias("strategies"), F.col("dst").alias("at"))
-        walk, _ = scratch.write(n, f"hop{hop}")
+        step = step.filter(~used).select(F.concat("ids", F.array("dst")).alias("ids"), F.concat("strategies", F.array("strategy")).alias("strategies"), F.col("dst").alias("at"))
+        walk, n = _counted(scratch, step, f"hop{hop}")
         if hop >= min_hops:
-            out = walk if out is None else out.unionByName(walk)
+            out = out.unionByName(walk)
+    e.done()
     return out.select("ids", "strategies", (F.size("ids") - 1).alias("hops"))
 
 
@@ -108,16 +146,25 @@ def neighbourhood(edges: DataFrame, hops: int = 2) -> DataFrame:
     return out
 
 
-def ancestors(links: DataFrame, max_depth: int = MAX_ROUNDS) -> DataFrame:
-    """(id, ancestor, depth), nearest depth each, over ``links`` (child, parent); cycle-safe."""
+def ancestors(links: DataFrame) -> DataFrame:
+    """(id, ancestor, depth), nearest depth each, over ``links`` (child, parent); cycle-safe, and
+    complete whatever the depth."""
     scratch = Scratch(links.sparkSession, "ancestors")
-    e, _ = scratch.write(links.dropna().select("child", "parent").distinct(), "links")
-    seen = e.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("id <> ancestor")
-    frontier = seen
-    for d in range(2, max_depth + 1):
-        n = frontier.join(e, frontier["ancestor"] == e["child"]).select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).filter("id <> ancestor").distinct()
-        fresh, _ = scratch.write(n.join(seen, ["id", "ancestor"], "left_anti"), f"up{d}")
-        if not fresh.limit(1).count():
-            break
-        seen, frontier = seen.unionByName(fresh), fresh
+    e = Edges(scratch, links.dropna().select("child", "parent").distinct(), "child")
+    seen, n = _counted(scratch, e.df.select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).filter("id <> ancestor"), "up")
+    frontier, d = seen, 1
+    while n:
+        d += 1
+        step = e.follow(frontier, "ancestor", n).select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("depth")).filter("id <> ancestor").distinct()
+        frontier, n = _counted(scratch, step.join(seen, ["id", "ancestor"], "left_anti"), "up")
+        seen = seen.unionByName(frontier) if n else seen
+    e.done()
     return seen
+
+
+def top(df: DataFrame, limit: int, *order: Column) -> tuple[DataFrame, bool]:
+    """The first ``limit`` rows by ``order`` and whether there were more: one row more is fetched
+    to tell. ``order`` must decide ties."""
+    more = df.orderBy(*order).limit(limit + 1)
+    rows = more.count()
+    return more.orderBy(*order).limit(limit), rows > limit

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import findings as V
 from graphloom.operators import graph as G
-from graphloom.operators import resolve as R
 from graphloom.operators import store as S
+from graphloom.plans.common import Registry
+from graphloom.plans.common import edges as _edges
+from graphloom.plans.common import functions as _fn
+from graphloom.plans.common import table as _t
+from graphloom.streaming import incremental as I
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
 
 # Views used by many queries: functions once each, calls, links to external nodes.
 _FN = "fn as (select distinct id, name, fqn, repo, file, package, param_count, return_type, start_line, body_hash from nodes where label = 'Function' and id is not null)"
@@ -20,34 +23,6 @@ _CALLS = "calls as (select src, dst, strategy from edges where type = 'CALLS' an
 _TRUST = "(coalesce(strategy, '') = 'bytecode' or starts_with(coalesce(strategy, ''), 'receiver_type') or starts_with(coalesce(strategy, ''), 'same_'))"
 
 
-def query(sql: str | None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _fn(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "nodes").filter((F.col("label") == "Function") & F.col("id").isNotNull())
-    return n.select("id", "name", "fqn", "repo", "file", "package", "param_count", "return_type", "start_line", "body_hash").distinct()
-
-
-def _edges(spark: SparkSession, d: str, *types: str) -> DataFrame:
-    return _t(spark, d, "edges").filter(F.col("type").isin(*types) & F.col("dst").isNotNull())
-
-
-def _hex(c: Column, at: int) -> Column:
-    """Two hex digits of an id as a number."""
-    return F.conv(F.substring(c, at, 2), 16, 10).cast("int")
-
-
 # identities and names
 
 
@@ -134,11 +109,12 @@ def _all_ids(spark, d) -> DataFrame:
     return _t(spark, d, "nodes").select("id").union(_t(spark, d, "catalog").select("node_id")).union(_t(spark, d, "graph_meta").select("repo_id")).dropna().distinct()
 
 
-@query("""select type, src, dst, evidence_line, evidence_col, evidence_file, min(coalesce(strategy, '')) as strategy from edges group by type, src, dst, evidence_line, evidence_col, evidence_file""")
+@query("""select repo, relpath, arg_min(sha, file_id) as sha, min(file_id) as file_id, count(*) as n_rows from file_info where repo is not null and relpath is not null group by repo, relpath""")
 def dedupe_first_wins(spark, d):
-    e = _t(spark, d, "edges").withColumn("strategy", F.coalesce("strategy", F.lit("")))
-    keys = ["type", "src", "dst", "evidence_line", "evidence_col", "evidence_file"]
-    return S.first_wins(e.select(*keys, "strategy"), keys, ["strategy"])
+    """Of rows of one key the one that arrived first, by the number given on arrival."""
+    f = _t(spark, d, "file_info").select("repo", "relpath", "file_id", "sha").dropna(subset=["repo", "relpath"])
+    n = f.groupBy("repo", "relpath").agg(F.count(F.lit(1)).alias("n_rows"))
+    return S.first_wins(f, ["repo", "relpath"], ["file_id"]).select("repo", "relpath", "sha", "file_id").join(n, ["repo", "relpath"])
 
 
 _GONE = "gone as (select distinct id from nodes where repo = 'harbor-core' and file in (select relpath from file_info where repo = 'harbor-core' and lang = 'sql'))"
@@ -220,119 +196,7 @@ def fingerprint_edges(spark, d):
     return S.set_hash(_t(spark, d, "edges"), ["type", "src", "dst", "strategy"])
 
 
-# reachability and paths
-
-_SINK = "sinks as (select distinct e.src as id from edges e join catalog c on c.node_id = e.dst where e.type = 'CALLS_EXTERNAL' and c.role = 'sink')"
-_BACK = f"back as (select distinct dst as src, src as dst from calls where {_TRUST} and src is not null)"
-
-
-def _trusted_calls(spark, d) -> DataFrame:
-    c = _edges(spark, d, "CALLS").filter(G.trusted(F.col("strategy")) & F.col("src").isNotNull())
-    return c.groupBy("src", "dst").agg(F.min("strategy").alias("strategy"))
-
-
-def _role_callers(spark, d, *roles: str) -> DataFrame:
-    c = _t(spark, d, "catalog").filter(F.col("role").isin(*roles)).select(F.col("node_id").alias("dst"), "role", "category").distinct()
-    return _edges(spark, d, "CALLS_EXTERNAL").select("src", "dst").distinct().join(c, "dst").select(F.col("src").alias("id"), "role", "category")
-
-
-@query(f"select count(*) as n_edges, count(*) filter (where {_TRUST}) as n_trusted from edges where type = 'CALLS'")
-def filter_trusted_edges(spark, d):
-    e = _t(spark, d, "edges").filter("type = 'CALLS'")
-    return e.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(G.trusted(F.col("strategy"))).alias("n_trusted"))
-
-
-@query(f"with recursive {_CALLS}, {_SINK}, {_BACK}, reach as (select id from sinks union select b.dst from reach r join back b on b.src = r.id) select id from reach where id is not null")
-def reach_sink(spark, d):
-    """Functions from which a sink can be reached over trusted calls."""
-    back = _trusted_calls(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.closure(_role_callers(spark, d, "sink").select("id"), back)
-
-
-@query(f"""with recursive {_CALLS}, {_BACK}, seeds as (select distinct e.src as id, c.category as kind from edges e join catalog c on c.node_id = e.dst where e.type = 'CALLS_EXTERNAL' and c.role = 'sink'),
-reach as (select id, kind from seeds union select b.dst, r.kind from reach r join back b on b.src = r.id)
-select id, string_agg(coalesce(kind, '-'), ',' order by coalesce(kind, '-')) as kinds from reach where id is not null group by id""")
-def reach_sink_kinds(spark, d):
-    """The kinds of sinks each function reaches."""
-    back = _trusted_calls(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    pairs = G.closure(_role_callers(spark, d, "sink").select("id", F.coalesce("category", F.lit("-")).alias("kind")), back)
-    return pairs.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
-
-
-_ENTRY = "entries as (select distinct e.src as id from edges e join catalog c on c.node_id = e.dst where (e.type = 'ANNOTATED_WITH' and c.label = 'Annotation') or (e.type = 'CALLS_EXTERNAL' and c.role = 'source'))"
-
-
-@query(f"with recursive {_CALLS}, {_ENTRY}, fwd as (select distinct src, dst from calls where {_TRUST} and src is not null), reach as (select id from entries union select f.dst from reach r join fwd f on f.src = r.id) select id from reach where id is not null")
-def reach_entry(spark, d):
-    """Functions reachable from annotated ones and from readers of untrusted sources."""
-    return G.closure(_entries(spark, d), _trusted_calls(spark, d))
-
-
-def _entries(spark, d) -> DataFrame:
-    notes = _t(spark, d, "catalog").filter("label = 'Annotation'").select(F.col("node_id").alias("dst")).distinct()
-    marked = _edges(spark, d, "ANNOTATED_WITH").join(notes, "dst", "left_semi").select(F.col("src").alias("id"))
-    return marked.union(_role_callers(spark, d, "source").select("id")).dropna().distinct()
-
-
-@query(f"""with recursive {_FN}, {_CALLS}, {_SINK}, {_BACK}, {_ENTRY}, fwd as (select distinct src, dst from calls where {_TRUST} and src is not null),
-up as (select id from sinks union select b.dst from up r join back b on b.src = r.id), down as (select id from entries union select f.dst from down r join fwd f on f.src = r.id),
-marks as (select fn.repo, fn.id in (select id from up) as s, fn.id in (select id from down) as e from (select distinct id, repo from fn) fn)
-select repo, count(*) as n_functions, count(*) filter (where s) as n_reach_sink, count(*) filter (where e) as n_from_entry, count(*) filter (where s and e) as n_universe,
-round(count(*) filter (where s and e)::double / count(*), 4) as share from marks group by repo""")
-def universe(spark, d):
-    """Functions between an entry and a sink, per repository."""
-    up = reach_sink(spark, d).withColumn("s", F.lit(True))
-    down = reach_entry(spark, d).withColumn("e", F.lit(True))
-    m = _fn(spark, d).select("id", "repo").distinct().join(up, "id", "left").join(down, "id", "left")
-    s, e = F.coalesce("s", F.lit(False)), F.coalesce("e", F.lit(False))
-    return m.groupBy("repo").agg(F.count(F.lit(1)).alias("n_functions"), F.count_if(s).alias("n_reach_sink"), F.count_if(e).alias("n_from_entry"), F.count_if(s & e).alias("n_universe"), F.round(F.count_if(s & e) / F.count(F.lit(1)), 4).alias("share"))
-
-
-@query(f"with {_CALLS} select dst as id, count(*) as callers from calls group by dst having count(*) >= 40")
-def hubs(spark, d):
-    return G.hubs(_edges(spark, d, "CALLS"), 40)
-
-
-_PATHS = f"""{_CALLS}, {_SINK}, {_ENTRY}, hub as (select dst as id from calls group by dst having count(*) >= 40),
-t as (select src, dst, min(strategy) as strategy from calls where {_TRUST} and src is not null and src not in (select id from hub) and dst not in (select id from hub) group by src, dst),
-walk as (
-  select [id] as ids, []::varchar[] as strategies, id as top, 0 as hops from entries where id is not null and id not in (select id from hub)
-  union all
-  select list_append(ids, t.dst), list_append(strategies, t.strategy), t.dst, hops + 1 from walk join t on t.src = walk.top
-  where hops < 4 and not list_contains(list_transform(range(1, len(ids)), lambda i: ids[i] || ids[i + 1]), t.src || t.dst)),
-paths as (select ids, strategies, hops from walk where top in (select id from sinks))"""
-
-
-def _sink_paths(spark, d) -> DataFrame:
-    hub = G.hubs(_edges(spark, d, "CALLS"), 40).select("id")
-    e = _trusted_calls(spark, d).join(hub.withColumnRenamed("id", "src"), "src", "left_anti").join(hub.withColumnRenamed("id", "dst"), "dst", "left_anti")
-    starts = _entries(spark, d).join(hub, "id", "left_anti")
-    # only edges from which a sink is still reachable can lie on a path
-    sinks = _role_callers(spark, d, "sink").select("id").distinct()
-    alive = G.closure(sinks, e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = e.join(alive.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    p = G.trails(starts.join(alive, "id", "left_semi"), e, 4)
-    return p.withColumn("last", F.element_at("ids", -1)).join(sinks.withColumnRenamed("id", "last"), "last", "left_semi").drop("last")
-
-
-@query(f"with recursive {_PATHS} select array_to_string(ids, '>') as path, array_to_string(strategies, ',') as strategies, hops from paths")
-def sink_paths(spark, d):
-    """Trails of up to four trusted hops from an entry to a sink, around hubs."""
-    return _sink_paths(spark, d).select(F.array_join("ids", ">").alias("path"), F.array_join("strategies", ",").alias("strategies"), "hops")
-
-
-_TRUST_CASE = "case when coalesce(s, '') = '' then 0.3 " + " ".join(f"when split_part(s, '+', 1) = '{k}' then {v}" for k, v in G.TRUST.items()) + " " + " ".join(f"when starts_with(split_part(s, '+', 1), '{k}') then {G.TRUST[k]}" for k in sorted(G.TRUST, key=len, reverse=True)) + " else 0.3 end"
-
-
-@query(f"with recursive {_PATHS} select array_to_string(ids, '>') as path, round(case when len(strategies) = 0 then 0.95 else list_min(list_transform(strategies, lambda s: {_TRUST_CASE})) end, 3)::double as score from paths")
-def path_score(spark, d):
-    return _sink_paths(spark, d).select(F.array_join("ids", ">").alias("path"), G.path_score(F.col("strategies"), F.lit(False), F.col("hops")).alias("score"))
-
-
-@query(f"""with recursive {_PATHS} select ids[1] as first, ids[-1] as last, array_to_string(arg_min(ids, (lpad((99 - hops)::varchar, 3, '0')) || array_to_string(ids, '')), '>') as path, max(hops) as hops from paths group by 1, 2""")
-def path_dedupe(spark, d):
-    return G.longest_per_ends(_sink_paths(spark, d)).select("first", "last", F.array_join("ids", ">").alias("path"), "hops")
-
+# neighbourhoods and ancestors
 
 @query(f"with {_CALLS}, e as (select distinct src, dst from calls where src is not null) select src as id, dst as other, 1 as depth from e union select a.src, b.dst, 2 from e a join e b on b.src = a.dst")
 def neighbourhood(spark, d):
@@ -427,173 +291,20 @@ def taint_marks(spark, d):
     return e.join(c, "dst").groupBy(F.col("src").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories"), F.bool_or(F.col("role") == "source").alias("is_source"), F.bool_or(F.col("role") == "sanitizer").alias("is_sanitizer"))
 
 
-# summaries made out of ids, for the joins of caller and callee contracts
-
-_H = "('0x' || substr(id, {}, 2))::int"
-_SIG = f"""{_FN}, {_CALLS}, sig as (select distinct id, name, fqn, file, {_H.format(1)} % 3 = 0 as may_null, {_H.format(3)} % 4 = 0 as acquires, {_H.format(5)} % 2 = 0 as in_finally, {_H.format(7)} % 3 as n_leaked,
-{_H.format(9)} % 5 = 0 as sql_dynamic, {_H.format(11)} % 4 = 0 as untrusted, {_H.format(13)} % 6 = 0 as entry, {_H.format(15)} % 9 = 0 as sanitizer from fn),
-blind as (select c.src as id, list(distinct f.name) as names from calls c join fn f on f.id = c.dst where {_H.format(1).replace('id', 'f.id')} % 2 = 0 group by c.src)"""
-
-
-def _signals(spark, d) -> DataFrame:
-    i = F.col("id")
-    s = _fn(spark, d).select(
-        "id", "name", "fqn", "file", (_hex(i, 1) % 3 == 0).alias("may_null"), (_hex(i, 3) % 4 == 0).alias("acquires"), (_hex(i, 5) % 2 == 0).alias("in_finally"), (_hex(i, 7) % 3).alias("n_leaked"),
-        (_hex(i, 9) % 5 == 0).alias("sql_dynamic"), (_hex(i, 11) % 4 == 0).alias("untrusted"), (_hex(i, 13) % 6 == 0).alias("entry"), (_hex(i, 15) % 9 == 0).alias("sanitizer"),
-    ).distinct()
-    named = _fn(spark, d).filter(_hex(i, 1) % 2 == 0).select(F.col("id").alias("dst"), F.col("name").alias("callee_name")).distinct()
-    blind = _edges(spark, d, "CALLS").select("src", "dst").dropna().distinct().join(named, "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("callee_name").alias("blind"))
-    return s.join(blind, "id", "left")
-
-
-@query(f"with {_SIG} select 'unchecked_null' as kind, a.fqn as caller, b.fqn as callee, a.file from (select distinct src, dst from calls) c join sig a on a.id = c.src join sig b on b.id = c.dst join blind n on n.id = a.id where b.may_null and list_contains(n.names, b.name)")
-def join_unchecked_null(spark, d):
-    """Calls of functions that may return null from callers that don't check that name."""
-    return V.unguarded(_edges(spark, d, "CALLS"), _signals(spark, d), "may_null", "blind", "unchecked_null")
-
-
-@query(f"with {_SIG} select distinct a.fqn as caller, b.fqn as callee from calls c join sig a on a.id = c.src join sig b on b.id = c.dst where a.acquires and not a.in_finally and not b.in_finally")
-def join_leak_escape(spark, d):
-    """A resource acquired by a caller that nobody on either side surely releases."""
-    s = _signals(spark, d)
-    a = s.filter("acquires and not in_finally").select(F.col("id").alias("src"), F.col("fqn").alias("caller"))
-    b = s.filter("not in_finally").select(F.col("id").alias("dst"), F.col("fqn").alias("callee"))
-    return _edges(spark, d, "CALLS").select("src", "dst").distinct().join(a, "src").join(b, "dst").select("caller", "callee").distinct()
-
-
-_SCORE = """round((case when sql_dynamic then 5.0 else 0 end + case when acquires then 2.0 else 0 end + case when untrusted then 3.5 else 0 end + case when acquires and (not in_finally or n_leaked > 0) then 2.0 else 0 end
- + case when acquires and not in_finally and untrusted then 1.0 else 0 end + case when entry then 1.0 else 0 end + n_leaked * 2.0) * case when sanitizer then 0.5 else 1.0 end, 2)::double"""
-
-
-def _scored(spark, d) -> DataFrame:
-    s = _signals(spark, d)
-    c = F.col
-    score = V.risk_score({"sql_dynamic": c("sql_dynamic"), "acquires": c("acquires"), "untrusted": c("untrusted")}, c("in_finally"), c("n_leaked"), c("untrusted"), c("entry"), c("sanitizer"), c("n_leaked"))
-    return s.withColumn("score", score)
-
-
-@query(f"with {_SIG} select distinct id, {_SCORE} as score, {_SCORE} >= 3.0 as important from sig")
-def signals_score(spark, d):
-    return _scored(spark, d).select("id", "score", (F.col("score") >= V.IMPORTANT).alias("important")).distinct()
-
-
-@query(f"with {_SIG} select count(*) as n, round(avg(case when {_SCORE} >= 3.0 then 1.0 else 0.0 end), 4)::double as important, round(avg(acquires::int), 4)::double as acquires, round(avg(untrusted::int), 4)::double as untrusted from sig")
-def signal_rates(spark, d):
-    r = lambda c: F.round(F.avg(c.cast("int")), 4)
-    return _scored(spark, d).agg(F.count(F.lit(1)).alias("n"), r(F.col("score") >= V.IMPORTANT).alias("important"), r(F.col("acquires")).alias("acquires"), r(F.col("untrusted")).alias("untrusted"))
-
-
-_CERT = "['demonstrated', 'probable', 'speculative', 'guess']"
-_IMP = "['exposure', 'integrity', 'correctness', 'quality', 'style']"
-_SEV = "case " + " ".join(f"when certainty = '{c}' and impact = '{i}' then '{s}'" for c, by in V.SEVERITY.items() for i, s in by.items()) + " else 'none' end"
-_FIND = f"""{_FN}, raw as (select id, fqn, file, coalesce(start_line, 0) as line, repo, body_hash, ({_CERT})[{_H.format(1)} % 4 + 1] as certainty, ({_IMP})[{_H.format(3)} % 5 + 1] as impact from fn),
-found as (select distinct id, fqn, file, line, repo, certainty, impact, {_SEV} as severity, substr(sha1(impact || chr(0) || coalesce(file, '') || chr(0) || ''), 1, 16) as fingerprint from raw)"""
-
-
-def _findings(spark, d) -> DataFrame:
-    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), _hex(F.col("id"), at) % len(names) + 1)
-    f = _fn(spark, d).select("id", "fqn", "file", F.coalesce("start_line", F.lit(0)).alias("line"), "repo", pick(["demonstrated", "probable", "speculative", "guess"], 1).alias("certainty"), pick(["exposure", "integrity", "correctness", "quality", "style"], 3).alias("impact")).distinct()
-    return f.withColumns({"severity": V.severity(F.col("certainty"), F.col("impact")), "fingerprint": X.finding_id(F.col("impact"), F.col("file"), F.lit(None))})
-
-
-@query(f"with {_FIND} select certainty, impact, severity, count(*) as n from found group by 1, 2, 3")
-def severity_matrix(spark, d):
-    return _findings(spark, d).groupBy("certainty", "impact", "severity").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""with {_FIND}, g as (select fingerprint, count(*) as n, count(distinct fqn) as entries, min(fqn) as entry from found group by fingerprint)
-select fingerprint, entry, entries as reachable_from_count, n - 1 as duplicate_paths from g""")
-def findings_dedupe(spark, d):
-    f = _findings(spark, d).select("fingerprint", F.array("id").alias("path_ids"), F.coalesce("fqn", F.lit("")).alias("entry"), F.coalesce("file", F.lit("")).alias("file"), "line")
-    return V.dedupe(f).select("fingerprint", "entry", F.col("reachable_from_count").cast("long").alias("reachable_from_count"), "duplicate_paths")
-
-
-@query(f"""with {_FIND} select id, severity, file, line from found where severity <> 'none'
-order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, file, line, id limit 100""")
-def findings_rank(spark, d):
-    """The hundred findings to look at first."""
-    f = _findings(spark, d).filter("severity <> 'none'")
-    return f.orderBy(V.severity_rank(F.col("severity")), F.asc_nulls_last("file"), "line", "id").limit(100).select("id", "severity", "file", "line")
-
-
-@query(f"with {_FIND}, d as (select distinct repo, fingerprint from found where {_H.format(5)} % 8 = 0) select found.repo, count(*) as n_all, count(*) filter (where d.repo is null) as n_kept from found left join d on d.repo = found.repo and d.fingerprint = found.fingerprint where found.repo is not null group by found.repo")
-def dismissals_split(spark, d):
-    f = _findings(spark, d).filter("repo is not null")
-    kept, out = V.split_dismissed(f, f.filter(_hex(F.col("id"), 5) % 8 == 0))
-    a, b = kept.groupBy("repo").agg(F.count(F.lit(1)).alias("k")), out.groupBy("repo").agg(F.count(F.lit(1)).alias("o"))
-    z = lambda c: F.coalesce(c, F.lit(0))
-    return a.join(b, "repo", "full_outer").select("repo", (z("k") + z("o")).alias("n_all"), z("k").alias("n_kept"))
-
-
-@query("""with v as (select src as finding, case when evidence_line is null then null else evidence_line % 2 = 0 end as refuted from edges where type = 'CALLS_EXTERNAL' and src is not null)
-select finding, count(refuted) as votes, count(*) filter (where refuted) as refuted, case when count(refuted) = 0 then 'unverified' when 2 * count(*) filter (where refuted) >= count(refuted) then 'killed' else 'kept' end as outcome from v group by finding""")
-def votes_tally(spark, d):
-    v = _t(spark, d, "edges").filter("type = 'CALLS_EXTERNAL' and src is not null")
-    return V.tally(v.select(F.col("src").alias("finding"), (F.col("evidence_line") % 2 == 0).alias("refuted")))
-
-
-@query("""with x as (select coalesce(lang, '-') as lang, coalesce(n_chars = length(text), false) as truth, coalesce(length(text) > 900, false) as found from documents),
-g as (select lang, count(*) filter (where truth and found) as tp, count(*) filter (where not truth and found) as fp, count(*) filter (where truth and not found) as fn, count(*) filter (where not truth and not found) as tn from x group by rollup (lang))
-select *, case when tp + fp = 0 then null else round(tp::double / (tp + fp), 4) end as precision, case when tp + fn = 0 then null else round(tp::double / (tp + fn), 4) end as recall, case when 2 * tp + fp + fn = 0 then null else round(2.0 * tp / (2 * tp + fp + fn), 4)::double end as f1 from g""")
-def confusion_matrix(spark, d):
-    x = _t(spark, d, "documents").select(F.coalesce("lang", F.lit("-")).alias("lang"), F.coalesce(F.col("n_chars") == F.length("text"), F.lit(False)).alias("truth"), F.coalesce(F.length("text") > 900, F.lit(False)).alias("found"))
-    return V.confusion(x, "truth", "found", "lang")
-
-
-# the resolver
-
-_REFS = f"""{_FN}, {_CLS}, nm as (select id, min(class_id) as class_id from own group by id),
-f as (select fn.id as dst, fn.name as target_name, fn.file as f_file, nm.class_id, fn.package, fn.param_count, k.name as class_name from (select distinct id, name, file, package, param_count from fn) fn left join nm on nm.id = fn.id left join (select id, min(name) as name from cls group by id) k on k.id = nm.class_id),
-refs as (select e.src, g.name as target_name, s.file, coalesce(e.evidence_col % 4, -1) as call_arity, case when coalesce(e.evidence_col, 0) % 3 = 0 then g.class_name end as recv_type, md5(e.src || chr(31) || g.name || chr(31) || coalesce(e.evidence_line::varchar, '') || chr(31) || coalesce(e.evidence_col::varchar, '') || chr(31) || coalesce(g.class_name, '')) as ref_id
-  from edges e join (select dst as id, min(target_name) as name, min(class_name) as class_name from f group by dst) g on g.id = e.dst join (select id, min(file) as file from fn group by id) s on s.id = e.src where e.type = 'CALLS'),
-r as (select distinct refs.*, sc.class_id as own_class, n.n from refs left join nm sc on sc.id = refs.src left join (select target_name, count(*) as n from f group by 1) n on n.target_name = refs.target_name),
-cand as (select r.ref_id, f.dst, f.param_count, 0 as tier from r join f on f.target_name = r.target_name and f.class_id = r.own_class
- union select r.ref_id, f.dst, f.param_count, 1 from r join f on f.target_name = r.target_name and f.f_file = r.file
- union select r.ref_id, f.dst, f.param_count, 2 from r join f on f.target_name = r.target_name and f.class_name = r.recv_type
- union select r.ref_id, f.dst, f.param_count, 3 from r join (select distinct file, package from fn where file is not null and package is not null) i on i.file = r.file join f on f.target_name = r.target_name and f.package = i.package
- union select r.ref_id, f.dst, f.param_count, 4 from r join f on f.target_name = r.target_name where r.n <= 5),
-pool as (select c.*, a.call_arity, a.call_arity >= 0 and c.param_count = a.call_arity as fits from cand c join (select ref_id, min(tier) as tier from cand group by 1) m on m.ref_id = c.ref_id and m.tier = c.tier join (select distinct ref_id, call_arity from r) a on a.ref_id = c.ref_id),
-n as (select ref_id, count(*) filter (where fits) as n_fit, count(*) as n_all from pool group by 1),
-hit as (select p.ref_id, p.dst, (['same_scope', 'same_file', 'receiver_type', 'imports', 'name'])[p.tier + 1] || case when n_fit > 0 then '+arity' else '' end as strategy,
- case when case when n_fit > 0 then n_fit else n_all end = 1 then case when p.tier = 4 then 'INFERRED' else 'EXTRACTED' end else 'AMBIGUOUS' end as confidence from pool p join n on n.ref_id = p.ref_id where n_fit = 0 or fits),
-resolved as (select r.ref_id, r.src, r.target_name, hit.dst, coalesce(hit.strategy, 'none') as strategy, coalesce(hit.confidence, case when r.n is null then 'external' else 'unresolved' end) as confidence from r left join hit on hit.ref_id = r.ref_id)"""
-
-
-def _resolved(spark, d) -> DataFrame:
-    m = _methods(spark, d).groupBy("id").agg(F.min("class_id").alias("class_id"))
-    cls = _t(spark, d, "nodes").filter("label = 'Class'").groupBy(F.col("id").alias("class_id")).agg(F.min("name").alias("class_name"))
-    fn = _fn(spark, d).select("id", "name", "file", "package", "param_count").distinct().join(m, "id", "left").join(cls, "class_id", "left")
-    named = fn.groupBy(F.col("id").alias("dst")).agg(F.min("name").alias("target_name"), F.min("class_name").alias("class_name"))
-    at = _fn(spark, d).groupBy(F.col("id").alias("src")).agg(F.min("file").alias("file"))
-    e = _edges(spark, d, "CALLS").select("src", "dst", "evidence_line", "evidence_col").join(named, "dst").join(at, "src")
-    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    key = F.md5(F.concat_ws("\x1f", "src", "target_name", s("evidence_line"), s("evidence_col"), s("class_name")))
-    refs = e.select("src", "target_name", "file", F.coalesce(F.col("evidence_col") % 4, F.lit(-1)).alias("call_arity"), F.when(F.coalesce("evidence_col", F.lit(0)) % 3 == 0, F.col("class_name")).alias("recv_type"), key.alias("ref_id")).distinct()
-    imports = _fn(spark, d).select("file", "package").dropna()
-    return R.resolve_calls(refs, fn, m.withColumnRenamed("id", "src"), imports)
-
-
-@query(f"with {_REFS} select distinct ref_id, dst, strategy, confidence from resolved")
-def resolve_calls(spark, d):
-    """Calls resolved again by name from where they stand: scope, file, receiver, imports, name."""
-    return _resolved(spark, d).select("ref_id", "dst", "strategy", "confidence").distinct()
-
-
-@query(f"with {_REFS} select confidence, strategy, count(distinct ref_id) as n_refs, count(dst) as n_edges from (select distinct ref_id, dst, strategy, confidence from resolved) group by 1, 2")
-def resolve_coverage(spark, d):
-    return R.coverage(_resolved(spark, d).select("ref_id", "dst", "strategy", "confidence").distinct())
-
-
 # incremental state, runs, vectors
 
 
-@query("""with s as (select id, max_by(nullif(body_hash, ''), write_seq) filter (where nullif(body_hash, '') is not null) as b, max_by(nullif(summary_hash, ''), write_seq) filter (where nullif(summary_hash, '') is not null) as s from function_log where id is not null group by id)
-select count(*) as n_functions, count(*) filter (where s = b) as n_fresh, count(*) filter (where s <> b) as n_stale, count(*) filter (where b is not null and s is null) as n_missing from s""")
+@query("""with w as (select distinct write_seq, op, id, nullif(body_hash, '') as b, nullif(summary_hash, '') as s from function_log where id is not null),
+gone as (select id, max(write_seq) as at from w where op = 'delete' group by id),
+live as (select w.* from w left join gone on gone.id = w.id where op <> 'delete' and write_seq > coalesce(gone.at, -1)),
+f as (select id, max_by(b, write_seq) filter (where b is not null) as b, max_by(s, write_seq) filter (where s is not null) as s from live group by id)
+select count(*) as n_functions, count(*) filter (where s is not null) as n_summaries, count(*) filter (where s = b) as n_fresh, count(*) filter (where s is not null and s is distinct from b) as n_stale from f where b is not null""")
 def summary_coverage(spark, d):
-    log = _t(spark, d, "function_log").withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("body_hash", "summary_hash")})
-    s = S.upsert(log, ["id"], F.col("write_seq"), ["body_hash", "summary_hash"])
-    b, u = F.col("body_hash"), F.col("summary_hash")
-    return s.agg(F.count(F.lit(1)).alias("n_functions"), F.count_if(b == u).alias("n_fresh"), F.count_if(b != u).alias("n_stale"), F.count_if(b.isNotNull() & u.isNull()).alias("n_missing"))
+    """Of the functions that exist, how many have a summary, and of the body they have now; what was
+    deleted is gone with its properties."""
+    f = I.fold_log(_t(spark, d, "function_log")).select("id", *[F.when(F.col("deleted_at").isNull() | (F.col(f"{c}_at") > F.col("deleted_at")), F.col(c)).alias(c) for c in ("body", "summary")])
+    b, u = F.col("body"), F.col("summary")
+    return f.filter("body is not null").agg(F.count(F.lit(1)).alias("n_functions"), F.count("summary").alias("n_summaries"), F.count_if(b == u).alias("n_fresh"), F.count_if(u.isNotNull() & ~u.eqNullSafe(b)).alias("n_stale"))
 
 
 @query("""select case when error is null then 'ok' else 'failed' end as outcome, count(*) as n_runs, max(overall_peak_mb) as peak_mb, round(sum(total_duration_s), 3) as total_s from run_index group by 1""")

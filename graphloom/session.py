@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the one named by ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a local folder is made.
+    It is the one named by ``spark.checkpoint.dir``. Only where that is unset and the session runs on
+    one machine, as in tests, a local folder is made; on a cluster the setting must be there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="graphloom-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
