@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Severity by certainty and impact, and the order of severities.
@@ -58,15 +59,18 @@ def unguarded(calls: DataFrame, functions: DataFrame, flag: str, names: str, kin
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
-    """One row per fingerprint, that of the shortest path (ties: smallest entry, then file); other
-    entries are kept, at most 20 of them listed, all of them counted."""
+    """One row per fingerprint, that of the shortest path (ties: smallest ids, entry, file, line);
+    all other entries are counted, and the first 20 of them listed."""
     rest = [c for c in findings.columns if c != "fingerprint"]
-    g = findings.groupBy("fingerprint").agg(
-        F.min_by(F.struct(*rest), F.struct(F.size("path_ids"), F.col("entry"), F.col("file"), F.col("line"))).alias("p"),
-        F.sort_array(F.collect_set(F.when(F.col("entry") != "", F.col("entry")))).alias("entries"), F.count(F.lit(1)).alias("n"),
-    )
-    others = F.filter("entries", lambda e: e != F.col("p.entry"))
-    return g.select("fingerprint", "p.*", F.size("entries").alias("reachable_from_count"), F.slice(others, 1, 20).alias("also_reachable_from"), (F.col("n") - 1).alias("duplicate_paths"))
+    best = F.min_by(F.struct(*rest), F.struct(F.size("path_ids"), F.col("path_ids"), F.col("entry"), F.col("file"), F.col("line")))
+    g = findings.groupBy("fingerprint").agg(best.alias("p"), F.count(F.lit(1)).alias("n"))
+    e = findings.select("fingerprint", "entry").filter("entry <> ''").distinct()
+    n = e.groupBy("fingerprint").agg(F.count(F.lit(1)).cast("int").alias("reachable_from_count"))
+    first = e.withColumn("at", F.row_number().over(W.partitionBy("fingerprint").orderBy("entry"))).filter("at <= 21")
+    first = first.groupBy("fingerprint").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+    g = g.join(n, "fingerprint", "left").join(first, "fingerprint", "left")
+    others = F.filter(F.coalesce("entries", F.array().cast("array<string>")), lambda x: ~x.eqNullSafe(F.col("p.entry")))
+    return g.select("fingerprint", "p.*", F.coalesce("reachable_from_count", F.lit(0)).alias("reachable_from_count"), F.slice(others, 1, 20).alias("also_reachable_from"), (F.col("n") - 1).alias("duplicate_paths"))
 
 
 def split_dismissed(findings: DataFrame, dismissals: DataFrame) -> tuple[DataFrame, DataFrame]:

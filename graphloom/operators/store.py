@@ -79,5 +79,6 @@ def set_hash(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def chunked(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    """Numbers the rows of each group in batches of ``size``."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1) / size).cast("int"))
+    """Numbers the rows of each group in batches of ``size``, and their places in the group."""
+    at = rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)
+    return at.withColumn("batch", F.floor(F.col("place") / size).cast("int"))

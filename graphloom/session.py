@@ -32,6 +32,12 @@ def hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def files_of(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of change of the files at ``path``: the state of an input."""
+    fs, p = hadoop(spark, path)
+    return tuple((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system; a missing one is no error."""
     fs, p = hadoop(spark, path)
