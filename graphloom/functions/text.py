@@ -105,3 +105,49 @@ def source_lang(relpath: Column) -> Column:
     """Language to parse a path as; null for artifacts and unknown extensions."""
     name = F.substring_index(relpath, "/", -1)
     return F.when(artifact_kind(relpath).isNull(), _case(_extension(name), LANGUAGES))
+
+
+_PRIMITIVES = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "Z": "boolean", "V": "void"}
+
+
+def type_name(descriptor: Column) -> Column:
+    """A single type descriptor as a Java type."""
+    dims = F.length(F.regexp_extract(descriptor, r"^(\[*)", 1))
+    base = F.regexp_replace(descriptor, r"^\[*", "")
+    named = F.regexp_replace(F.regexp_extract(base, r"^L([^;]+);$", 1), "/", ".")
+    out = named
+    for k, v in _PRIMITIVES.items():
+        out = F.when(base == k, v).otherwise(out)
+    return F.concat(out, F.repeat(F.lit("[]"), dims))
+
+
+def descriptor_params(descriptor: Column) -> Column:
+    """Java types of a method descriptor's parameters; null for what is no method descriptor."""
+    ok = F.rlike(descriptor, F.lit(r"^\((?:\[*(?:[BCDFIJSZ]|L[^;]+;))*\)(?:V|\[*(?:[BCDFIJSZ]|L[^;]+;))$"))
+    inside = F.regexp_extract(descriptor, r"^\(([^)]*)\)", 1)
+    parts = F.regexp_extract_all(inside, F.lit(r"(\[*(?:[BCDFIJSZ]|L[^;]+;))"), 1)
+    return F.when(ok, F.transform(parts, type_name))
+
+
+def erased(type_: Column) -> Column:
+    """A type for comparison: without generics, package and outer class; varargs are an array."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(type_), r"<.*>", ""), r"\.\.\.$", "[]")
+    return F.regexp_replace(t, r"^.*[.$]", "")
+
+
+def lookup_name(method: Column, owner: Column) -> Column:
+    """A constructor is looked up by its class's simple name."""
+    return F.when(method == "<init>", F.regexp_replace(owner, r"^.*[.$]", "")).otherwise(method)
+
+
+def split_url(url: Column) -> tuple[Column, Column]:
+    """(host in lower case, path); a relative address has no host, and its path no query."""
+    absolute = F.rlike(url, F.lit(r"^(?:[A-Za-z][\w+.-]*:)?//"))
+    host = F.when(absolute, F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))).otherwise(F.lit(""))
+    path = F.when(absolute, F.regexp_extract(url, r"^(?:[A-Za-z][\w+.-]*:)?//[^/?#]*([^?#]*)", 1)).otherwise(F.regexp_extract(url, r"^([^?#]*)", 1))
+    return host, F.when(absolute & (path == ""), "/").otherwise(path)
+
+
+def match_key(method: Column, path: Column) -> tuple[Column, Column]:
+    """Verb (GET by default) and normal route of an endpoint."""
+    return F.when(F.coalesce(F.trim(method), F.lit("")) == "", "GET").otherwise(F.upper(F.trim(method))), route(path)
