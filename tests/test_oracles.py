@@ -3,12 +3,10 @@
 import pytest
 from oracle import DATA, compare
 
-from graphloom.plans import core_problems, graph_queries
+from graphloom.plans import contract_queries, core_problems, graph_queries, reach_queries
 
-CASES = [(k, m.QUERIES[k], m.SQL[k]) for m in (core_problems, graph_queries) for k in m.SQL]
-SLOW = {"path_score", "path_dedupe", "p3_loops"}  # same plan as another query here
+CASES = [(k, m.QUERIES[k], m.SQL[k]) for m in (core_problems, graph_queries, reach_queries, contract_queries) for k in m.SQL]
 
-
-@pytest.mark.parametrize("name,query,sql", [c for c in CASES if c[0] not in SLOW], ids=[c[0] for c in CASES if c[0] not in SLOW])
+@pytest.mark.parametrize("name,query,sql", CASES, ids=[c[0] for c in CASES])
 def test_query(spark, name, query, sql):
     assert compare(spark, name, query, sql, str(DATA / "sf0.001")) == ""
