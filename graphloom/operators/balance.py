@@ -5,7 +5,7 @@ packed into tasks, largest first; a key whose load is beyond a task's share is s
 in proportion to its load. The other side of a join is copied only to the shards of split keys.
 The plan of a run is small whatever the data: the keys worth splitting are at most
 ``tasks * split_factor`` (each holds at least one part in so many of all rows), all others are
-placed by the hash bucket they fall into, and the number of buckets is fixed.
+placed by the hash bucket they fall into, 16 buckets a task.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+#: Hash buckets for each task, and at least.
+PER_TASK, BUCKETS = 16, 1024
 _ID = "__task"
 _SHARD = "__shard"
 _SHARDS = "__shards"
@@ -59,13 +60,14 @@ def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int")
 
 
-def place(df: DataFrame, keys: list[str], tasks: int, split_factor: int = 2, buckets: int = BUCKETS) -> tuple[Placement, dict[int, int], dict[tuple, int]]:
+def place(df: DataFrame, keys: list[str], tasks: int, split_factor: int = 2, buckets: int | None = None) -> tuple[Placement, dict[int, int], dict[tuple, int]]:
     """Pack keys and buckets of keys into ``tasks`` by load.
 
     A key with more than ``total / (tasks * split_factor)`` rows gets one shard for each such
     share. What reaches the driver is at most ``buckets`` numbers and ``tasks * split_factor`` keys.
     The loads are counted in one pass; the total comes from the row counts of the scan.
     """
+    buckets = buckets or max(BUCKETS, PER_TASK * tasks)
     total = df.count()
     share = max(1, ceil(total / max(1, tasks * split_factor)))
     is_hot = F.col("n_rows") > share

@@ -72,11 +72,13 @@ def contract(links: DataFrame, with_paths: bool = False, scratch: Scratch | None
         # a node that is its own parent is what is left of a loop
         core = live.filter(F.col("id") == F.col("par"))
         rest = live.filter(F.col("id") != F.col("par"))
-        kids = rest.groupBy("tree", F.col("par").alias("id")).agg(F.count(F.lit(1)).alias("kids"))
+        kids = rest.groupBy("tree", F.col("par").alias("id")).agg(F.count(F.lit(1)).alias("kids"), F.min("id").alias("only"))
         state = rest.join(kids, ["tree", "id"], "left").withColumn("spliced", F.coalesce((F.col("kids") == 1) & _coin("id", rounds) & ~_coin("par", rounds), F.lit(False)))
-        marked = core.select(*cols, F.lit(None).cast("long").alias("kids"), F.lit(False).alias("spliced")).unionByName(state.select(*cols, "kids", "spliced"))
-        up = marked.filter("spliced").select("tree", F.col("id").alias("par"), F.col("par").alias("up_par"), F.col("w").alias("up_w"), F.col("low").alias("up_low"), *([F.col("seg").alias("up_seg")] if with_paths else []))
-        joined = marked.filter(~F.col("spliced")).join(up, ["tree", "par"], "left")
+        extra = ["kids", "only", "spliced"]
+        marked = core.select(*cols, F.lit(None).cast("long").alias("kids"), F.lit(None).cast(links.schema["id"].dataType).alias("only"), F.lit(False).alias("spliced")).unionByName(state.select(*cols, *extra))
+        # a spliced node has one child, so its link goes to that child by id: no parent is a join key
+        up = marked.filter("spliced").select("tree", F.col("only").alias("id"), F.col("par").alias("up_par"), F.col("w").alias("up_w"), F.col("low").alias("up_low"), *([F.col("seg").alias("up_seg")] if with_paths else []))
+        joined = marked.filter(~F.col("spliced")).join(up, ["tree", "id"], "left")
         hit = F.col("up_par").isNotNull()
         moved = joined.select(
             "tree", "id", F.coalesce("up_par", "par").alias("par"), "parent_id",
