@@ -70,13 +70,13 @@ class Splitter:
                 start = min(a, start + 1 + (n - self.limit))
                 n = self._size(text, ends, upto, start, b)
             out.append((start, b, n, self._size(text, ends, upto, start, a) if start < a else 0))
-            at = a
+            at = start + 1
         return out
 
     def _back(self, text: str, ends: list[int], upto: list[int], cut: int, least: int) -> int:
         """Where the overlap before ``cut`` starts: whole pre-tokens as far as they fit, and inside a
-        pre-token that is larger than what is left, characters. Never before ``least``, the start of
-        the piece before."""
+        pre-token that is larger than what is left, characters. Never before ``least``: a piece holds
+        less than all of the one before."""
         k = self._at.get(cut)
         room, start = self.overlap, cut
         if k is not None:
@@ -126,13 +126,12 @@ class Splitter:
         def opened(a: int, b: int, level: int) -> list[tuple[int, int, int]]:
             """An oversized node as (start, end, tokens) of its parts: its children, the oversized
             among them opened first, put together."""
-            while True:
-                at = sorted({snap(a + x) for x in self._parts(text[a:b], level) if 0 < x < b - a} - {a, b})
-                if at:
-                    break
-                level += 1
+            at: list[int] = []
+            while not at:
                 if level == len(_LEVELS):
                     return hard(a, b)
+                at = sorted({snap(a + x) for x in self._parts(text[a:b], level) if 0 < x < b - a} - {a, b})
+                level += not at
             below = level if level in (-1, 1) else level + 1  # headings and lists nest
             out: list[tuple[int, int, int]] = []
             for x, y in zip([a, *at], [*at, b], strict=True):

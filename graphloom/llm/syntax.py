@@ -241,7 +241,9 @@ def check(lang: str, source: str | None) -> Verdict:
     v = parser.parse(cls, newline)
     if v.ok or origin is None:
         return v
-    return Verdict(False, v.kind, origin[v.at] if v.at < len(origin) else len(toks))
+    at = origin[v.at] if v.at < len(origin) else len(toks)
+    # what fails behind the last token is the end of the text
+    return Verdict(False, v.kind if at < len(toks) else "end", at)
 
 
 def verdict(lang: str | None, source: str | None) -> Verdict:
