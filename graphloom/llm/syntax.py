@@ -156,7 +156,7 @@ def _layout(tokens: list[str], classes: list[str]) -> tuple[list[str], list[int]
     origin: list[int] = []
     levels, depth, after = [0], 0, True
     for i, (t, c) in enumerate(zip(tokens, classes, strict=True)):
-        origin += [i] * (len(out) - len(origin))
+        origin += [i - 1] * (len(out) - len(origin))
         first = c[0] if c else "\n"
         if first in "\r\n":
             if depth:
@@ -183,6 +183,7 @@ def _layout(tokens: list[str], classes: list[str]) -> tuple[list[str], list[int]
         elif c in (")", "]", "}"):
             depth = max(0, depth - 1)
         out.append(c)
+    origin += [len(tokens) - 1] * (len(out) - len(origin))
     if not after:
         out.append("NEWLINE")
     out += ["DEDENT"] * (len(levels) - 1)
