@@ -31,14 +31,16 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 5
 #: A family of shapes with at least this many shingles needs no marks.
 LARGE = 200
-#: Shapes of a band up to which every two are compared.
-COLD = 16_384
 FAMILY = 5
 #: Share of literal tokens from which a family without marks is data.
 LITERAL = 0.35
 SKETCH = 512
 #: Pairs that one task compares; larger bands are dealt out.
 PAIRS = 1_000_000
+#: Large shapes of a band that are held at once; those of larger bands are dealt into squares.
+SIDE = 32_768
+#: Pairs that are compared in one step.
+STEP = 1_000_000
 
 GENERATED, VENDORED, DATA, MINIFIED = 1, 2, 4, 8
 
@@ -286,11 +288,11 @@ def classify(files: DataFrame, house: str, key: str = "file_id") -> DataFrame:
     # unmarked shapes against all marked ones of their bands; large ones with each other; all with a leader
     core = _shared(scratch, members.filter(F.col("speaks") | (F.col("n_shingles") >= LARGE)))
     asked = _asked(scratch, members.filter("speaks"), members.filter("not speaks")).withColumn("star", F.lit(False))
-    asked = asked.unionByName(_asked_leaders(core).unionByName(_asked_in_cold(core)).withColumn("star", F.lit(True)))
+    asked = asked.unionByName(_asked_leaders(core).unionByName(_asked_large(core)).withColumn("star", F.lit(True)))
     similar, _ = scratch.write(_verified(prof, scratch, asked.groupBy("leader", "shape_h").agg(F.max("star").alias("star"), F.bool_or(~F.col("star")).alias("heard"))), "similar")
     heard = similar.filter("heard").select("leader", "shape_h")
     alone = shapes.filter((F.col("n_marked") * 2 >= F.col("n_texts")) | (F.col("n_shingles") >= LARGE)).select(F.col("shape_h").alias("leader"), "shape_h")
-    stars, _ = scratch.write(alone.unionByName(similar.filter("star").select("leader", "shape_h")).unionByName(_stars_of_hot(prof, scratch, core)).distinct(), "stars")
+    stars, _ = scratch.write(alone.unionByName(similar.filter("star").select("leader", "shape_h")).distinct(), "stars")
     by_family, _ = scratch.write(_families(prof, shapes, stars, heard), "families")
     out = prof.select("k", "shape_h", "bits").join(by_family, "shape_h", "left").select(F.col("k").alias(key), "bits", F.coalesce("family_bits", F.lit(0)).alias("family_bits"))
     return out.filter("bits <> 0 or family_bits <> 0")
@@ -349,18 +351,60 @@ def _asked_leaders(core: DataFrame) -> DataFrame:
     return a.filter((F.col("leader") != F.col("shape_h")) & ~_apart("size", "n_shingles", "other", "sketch")).select("leader", "shape_h")
 
 
-def _asked_in_cold(core: DataFrame) -> DataFrame:
-    """(leader, shape_h): every two large shapes without marks, the smaller first, of bands of up to
-    ``COLD`` that may be similar. At most ``COLD`` comparisons a row, so linear in the shapes; sizes
-    beyond the next class of a ratio of ``SIMILAR`` don't meet."""
-    at = ["band", "h", "size_class"]
-    of_size = F.floor(F.log("n_shingles") / -np.log(SIMILAR)).cast("int")
-    cold = core.filter((F.col("n") > 1) & (F.col("n") <= COLD) & ~F.col("speaks")).select("band", "h", "shape_h", "n_shingles", "sketch", of_size.alias("size_class"))
-    # each meets its own class and the next; whom it meets in the one before has come up to it
-    up = F.explode(F.array(F.lit(0), F.lit(1))).alias("up")
-    a = cold.select("band", "h", "size_class", F.col("shape_h").alias("x"), F.col("n_shingles").alias("size"), F.col("sketch").alias("other"), up).withColumn("size_class", F.col("size_class") + F.col("up"))
-    met = a.join(cold, at).filter(((F.col("up") == 1) | (F.col("x") < F.col("shape_h"))) & ~_apart("size", "n_shingles", "other", "sketch"))
-    return met.select(F.least("x", "shape_h").alias("leader"), F.greatest("x", "shape_h").alias("shape_h"))
+def _asked_large(core: DataFrame) -> DataFrame:
+    """(leader, shape_h): every two large shapes without marks, the smaller first, that share a band
+    and may be similar, whatever the size of the band. The shapes of a band of more than ``SIDE`` are
+    dealt into parts by their hash, and every two parts meet in a cell of their own, so a task holds
+    two parts at most. The comparisons of a band grow with the square of its shapes."""
+    at = ["band", "h", "cell"]
+    rows = core.filter((F.col("n") > 1) & ~F.col("speaks")).withColumn("parts", F.ceil(F.col("n") / SIDE)).withColumn("part", F.pmod(F.xxhash64("shape_h"), "parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct((F.least("part", k) * F.col("parts") + F.greatest("part", k)).alias("cell"), F.when(k == F.col("part"), 2).otherwise((k < F.col("part")).cast("int")).alias("side")))
+    dealt = rows.select("band", "h", "shape_h", "n_shingles", "sketch", F.explode(cells).alias("c")).select("band", "h", "c.cell", "c.side", "shape_h", "n_shingles", "sketch")
+    return dealt.repartition(*at).sortWithinPartitions(*at, "n_shingles").mapInArrow(_near_in_cells, "leader long, shape_h long")
+
+
+def _near_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of cells that come one after the other, each in the order of its sizes."""
+    rest: list[np.ndarray] | None = None
+    for b in batches:
+        flat = b.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH // 64)
+        cols = [*(b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "h", "cell", "side", "shape_h", "n_shingles")), flat]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        new = np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
+        last = int(np.flatnonzero(new)[-1])  # the last cell may go on in the next batch
+        rest = [x[last:] for x in cols]
+        yield from _near(np.cumsum(new[:last]), *(x[:last] for x in cols[3:]))
+    if rest is not None:
+        yield from _near(np.zeros(len(rest[0]), np.int64), *rest[3:])
+
+
+def _near(cell: np.ndarray, side: np.ndarray, shape: np.ndarray, size: np.ndarray, sketches: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of a cell that aren't surely apart (as ``_apart``). Rows of sides 0 and 1 meet the
+    other side only, those of side 2 each other."""
+    size, at = size.astype(np.int64), np.arange(len(cell))
+    # sizes of similar sets differ by a ratio of SIMILAR at most
+    end = np.searchsorted(cell << 32 | size, cell << 32 | np.floor(size / SIMILAR + 1e-6).astype(np.int64), side="right")
+    upto = np.cumsum(end - at - 1)
+    a, words = 0, np.ascontiguousarray(sketches.T)
+    while a < len(cell):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, side="right")))
+        n = end[a:b] - at[a:b] - 1
+        x = np.repeat(at[a:b], n)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + x + 1
+        a = b
+        if len(x) and side.min() < 2:
+            meet = (side[x] == 2) | (side[x] != side[y])
+            x, y = x[meet], y[meet]
+        most = (1 - SIMILAR) / (1 + SIMILAR) * (size[x] + size[y]) + 1e-6
+        bits = np.zeros(len(x), np.int64)
+        for k, w in enumerate(words):
+            bits += np.bitwise_count(w[x] ^ w[y])
+            if k % 2:
+                may = bits <= most
+                x, y, most, bits = x[may], y[may], most[may], bits[may]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(shape[x], shape[y])), pa.array(np.maximum(shape[x], shape[y]))], names=["leader", "shape_h"])
 
 
 def _verified(prof: DataFrame, scratch: Scratch, pairs: DataFrame) -> DataFrame:
@@ -380,23 +424,3 @@ def _verified(prof: DataFrame, scratch: Scratch, pairs: DataFrame) -> DataFrame:
             yield b.loc[keep, cols]
 
     return j.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in pairs.dtypes))
-
-
-def _stars_of_hot(prof: DataFrame, scratch: Scratch, core: DataFrame) -> DataFrame:
-    """(leader, shape_h): families of large shapes without marks in the bands of more than ``COLD`` of
-    them, as stars. In the first round about 16 shapes of a band lead, in every further one 16 times
-    as many, until each shape has been a leader or has found one. A band of m unlike shapes takes
-    about log m / log 16 rounds."""
-    at = ["band", "h"]
-    links = core.sparkSession.createDataFrame([], "leader long, shape_h long")
-    waiting, r = core.filter((F.col("n") > COLD) & ~F.col("speaks")).drop("first", "speaks"), 1
-    while waiting.limit(1).count():
-        now = waiting.withColumn("leads", F.pmod(F.xxhash64("shape_h", F.lit(r)), F.ceil(F.col("n") / F.lit(16**r))) == 0)
-        lead = now.filter("leads").select(*at, F.col("shape_h").alias("leader"), F.col("n_shingles").alias("size"), F.col("sketch").alias("other"))
-        asked = now.join(lead, at).filter((F.col("shape_h") != F.col("leader")) & ~_apart("size", "n_shingles", "other", "sketch"))
-        found, _ = scratch.write(_verified(prof, scratch, asked.select("leader", "shape_h").distinct()), "found")
-        links = links.unionByName(found)
-        placed = lead.select(*at, "leader").join(found, "leader").select(*at, "shape_h").distinct()
-        waiting, _ = scratch.write(now.filter("not leads").drop("leads").join(placed, [*at, "shape_h"], "left_anti"), "waiting")
-        r += 1
-    return links
