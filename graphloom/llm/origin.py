@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,27 +63,33 @@ _TABLES = re.compile(r"\b(?:_lr_(?:action|goto)(?:_items|s)?|_tabversion|_lr_sig
 
 _TABLE_HINTS = ("_lr_", "_tabversion", "yy", "serializedATN", "DFA", "jj_la1")
 _STRINGS = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
-#: Strings and, as a group, comments: a comment mark inside a string is none.
+#: Strings and comments: a comment mark inside a string is none. Every branch begins with a letter of
+#: its own, so that the text between is skipped fast.
 _TEXTS = {
-    "python": re.compile(r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|" + _STRINGS + r"|(#[^\n]*)"),
-    "sql": re.compile(r"'(?:[^'\n]|'')*'|\"[^\"\n]*\"|(--[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|#(?<=\n#)[^\n]*)"),
-    "": re.compile(r"\"\"\"[\s\S]*?\"\"\"|" + _STRINGS + r"|`(?:[^`\\]|\\[\s\S])*`|(//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[^\n]*|#(?<=\n#)[^\n]*)"),
+    "python": re.compile(r"\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|" + _STRINGS + r"|#[^\n]*"),
+    "sql": re.compile(r"'(?:[^'\n]|'')*'|\"[^\"\n]*\"|--[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|#(?<=\n#)[^\n]*"),
+    "": re.compile(r"\"\"\"[\s\S]*?\"\"\"|" + _STRINGS + r"|`(?:[^`\\]|\\[\s\S])*`|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|<!--[^\n]*|#(?<=\n#)[^\n]*"),
 }
 _PROLOGUE = re.compile(r"\A(?:\s|#![^\n]*|<\?[^\n]*|[\"']use strict[\"'];?)*\Z")
 #: How files of other formats begin.
 _MAGIC = ("PK\x03\x04", "PK\x05\x06", "\x7fELF", "GIF8", "%PDF-", "\x89PNG", "BZh", "Rar!", "SQLite format 3")
-_CONTROL = re.compile("[\x01-\x08\x0e-\x1f\x7f\ufffd]")
+_CONTROL = bytes([*range(1, 9), *range(14, 32), 127])
 
 
 def no_text(source: str) -> bool:
     """Bytes of another format under a source suffix. Wide encodings, which hold a zero beside
     every letter, are texts."""
-    return source.startswith(_MAGIC) or ("\x00" not in source and len(_CONTROL.findall(source)) * 20 > len(source))
+    if source.startswith(_MAGIC):
+        return True
+    raw = source.encode("utf-8", "replace")
+    return "\x00" not in source and (len(raw) - len(raw.translate(None, _CONTROL)) + source.count("\ufffd")) * 20 > len(source)
 
 
 #: Lower-case parts of words of which every mark in a comment has one.
-_HINTS = """generat erzeug generi produ créé gerado 自動 自动 machine maschinell output transpiled bundled compiled copyright © (c) copy vendored imported
-copied taken adapted borrowed upstream lost overwritten verloren perdu edit modif bearbeiten ändern written automat""".split()
+_HINTS = frozenset("""generat erzeug generi produ créé gerado 自動 自动 machine maschinell output transpiled bundled compiled copyright © (c) copy vendored imported
+copied taken adapted borrowed upstream lost overwritten verloren perdu edit modif bearbeiten ändern written automat""".split())
+#: What a line of ASCII must hold besides to be a mark.
+_LINE_HINTS = [*_HINTS, "creat", "auto", "generad", "perdid"]
 
 
 def _comment_lines(lang: str, source: str) -> list[tuple[str, bool]]:
@@ -94,11 +99,12 @@ def _comment_lines(lang: str, source: str) -> list[tuple[str, bool]]:
     head, end = True, 0
     for m in _TEXTS.get(lang, _TEXTS[""]).finditer(source):
         if head:
-            between = source[end : m.start()]
-            head = not between or bool(_PROLOGUE.match(between))
-            end = m.end()
-        if m[1] or (head and lang == "python"):
-            out += [(x, head) for x in m[0].split("\n")]
+            a, b = m.span()
+            head = a == end or bool(_PROLOGUE.match(source[end:a]))
+            end = b
+        said = m[0]
+        if said[0] not in "\"'`" or (head and lang == "python"):
+            out += [(x, head) for x in said.split("\n")]
     return out
 
 
@@ -108,12 +114,16 @@ def self_evidence(lang: str, source: str, relpath: str | None, house: str) -> in
     low_house = house.lower()
     lines = _comment_lines(lang, source)
     said = "\n".join([x for x, _ in lines]).lower()
-    if not any(h in said for h in _HINTS):
+    hints = [h for h in _LINE_HINTS if h in said]
+    if _HINTS.isdisjoint(hints):
         lines = [x for x in lines if x[1]]
     for x, head in lines:
+        low = x.lower()
+        if not head and low.isascii() and not any(h in low for h in hints):
+            continue
         if _SIGNED.match(x) or (_LOST.search(x) and re.search(r"(?i)generat|erzeugt|produ|machine|compil|make\b|build\b|auto", x)):
             bits |= GENERATED
-        if low_house in x.lower():
+        if low_house in low:
             continue
         if _COPY.search(x):
             bits |= VENDORED
@@ -138,52 +148,79 @@ def self_evidence(lang: str, source: str, relpath: str | None, house: str) -> in
     return bits
 
 
-def density(lang: str, source: str, tokens: list[str], classes: list[str]) -> int:
-    """Bits from the tokens: minified text and literal-only files."""
-    n = len(tokens)
+def density(lang: str, source: str, tokens: list[str], ids: np.ndarray) -> int:
+    """Bits from the tokens, given with the numbers of their classes: minified text and literal-only files."""
+    of = np.bincount(ids, minlength=_FIXED)
+    of[0] = 0
+    n = int(of.sum())
+    lit = int(of[_LITERALS].sum())
     if n < 20:
-        return DATA if n >= 3 and len(source) > 400 and _literal_chars(tokens, classes) > 0.85 * len(source) else 0
+        return DATA if n >= 3 and len(source) > 400 and _literal_chars(tokens, ids) > 0.85 * len(source) else 0
     bits = 0
     lines = source.count("\n") + 1
     filled = sum(map(bool, map(str.strip, source.split("\n")))) or 1
-    of = Counter(classes)
-    lit = of["NUM"] + of["STR"] + of["TEMPLATE"]
-    words = n - lit - sum(map(of.__getitem__, _COMMAS))
+    words = n - lit - int(of[_COMMAS].sum())
     dense = n / filled
     if dense < 22 and lit < 40 and len(source) <= 600:
         return 0
-    lit_chars = _literal_chars(tokens, classes) if lit else 0
+    lit_chars = _literal_chars(tokens, ids) if lit else 0
     if lang != "sql":
         # a person breaks lines; minifiers don't. Long literals alone don't count.
         if (dense >= 40 and (len(source) - lit_chars) / lines >= 150) or dense >= 60:
             bits |= MINIFIED
-        names = [t for t, c in zip(tokens, classes, strict=True) if c == "ID"] if dense >= 22 and n > 300 else ()
-        if names and sum(map(len, names)) / len(names) < 2.6:
+        names = _chars(tokens, ids == _NAME) if dense >= 22 and n > 300 else 0
+        if names and names / of[_NAME] < 2.6:
             bits |= MINIFIED
     if len(source) > 600 and ((lit_chars > 0.8 * len(source) and words < 60) or (lit_chars > 0.6 * len(source) and words < 36)):
         bits |= DATA
     elif lit >= 60 and words <= 0.35 * n and words < max(90, 0.25 * n):
         bits |= DATA
-    elif lit >= 40 and lit >= 0.28 * n and len(set(classes)) <= 24 and words <= 0.3 * n + 10:
+    elif lit >= 40 and lit >= 0.28 * n and np.count_nonzero(of) <= 24 and words <= 0.3 * n + 10:
         bits |= DATA
     return bits
 
 
-_LITERALS = frozenset(["NUM", "STR", "TEMPLATE"])
-_COMMAS = frozenset([",", "(", ")", "[", "]", "{", "}", ":", ";", "-", "NEWLINE", "+", "\n"])
+def _chars(tokens: list[str], which: np.ndarray) -> int:
+    return sum(len(tokens[i]) for i in np.flatnonzero(which).tolist())
+
+
+def _literal_chars(tokens: list[str], ids: np.ndarray) -> int:
+    return _chars(tokens, (ids >= _LITERALS[0]) & (ids <= _LITERALS[-1]))
+
 
+#: Numbers of token classes: 0 is no token (a line end in Python), then literals, names and commas.
+_NUMBERED = ["", "NUM", "STR", "TEMPLATE", "ID", ",", "(", ")", "[", "]", "{", "}", ":", ";", "-", "NEWLINE", "+", "\n"]
+_number = {c: i for i, c in enumerate(_NUMBERED)}
+_FIXED = len(_NUMBERED)
+_LITERALS, _NAME, _COMMAS = np.arange(1, 4), 4, np.arange(5, _FIXED)
+#: The hash of each class, by number; there are a few hundred classes.
+_hashes = np.zeros(4096, dtype=np.uint64)
+_hashes[:_FIXED] = [zlib.crc32(c.encode()) | 1 for c in _NUMBERED]
 
-def _literal_chars(tokens: list[str], classes: list[str]) -> int:
-    return sum(len(t) for t, c in zip(tokens, classes, strict=True) if c in ("NUM", "STR", "TEMPLATE"))
 
+class _Numbers(dict):
+    """Token text -> number of its class, worked out once per text; emptied when it gets large."""
 
-class _Codes(dict):
-    def __missing__(self, c: str) -> int:
-        v = self[c] = zlib.crc32(c.encode()) | 1
+    def __init__(self, lang: str):
+        super().__init__()
+        self.lang, self.classes = lang, syntax._tool(lang)[1]
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > self.classes.LIMIT:
+            self.clear()
+        if self.lang == "python" and t[0] in "\r\n":
+            v = 0
+        else:
+            c = self.classes._of(t)
+            v = _number.setdefault(c, len(_number))
+            _hashes[v] = zlib.crc32(c.encode()) | 1
+        self[t] = v
         return v
 
 
-_codes = _Codes()
+_numbers: dict[str, _Numbers] = {}
+
+
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -196,9 +233,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def shingles(classes: list[str]) -> np.ndarray:
-    """Distinct hashes of five masked tokens in a row."""
-    c = np.fromiter(map(_codes.__getitem__, classes), dtype=np.uint64, count=len(classes))
+def shingles(ids: np.ndarray) -> np.ndarray:
+    """Distinct hashes of five masked tokens in a row, given by the numbers of their classes."""
+    c = _hashes[ids]
     if len(c) < SHINGLE:
         return np.zeros(0, dtype=np.uint64)
     h = np.zeros(len(c) - SHINGLE + 1, dtype=np.uint64)
@@ -222,14 +259,12 @@ def sketch(sh: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _masked(lang: str, source: str) -> tuple[list[str], list[str]]:
+def _masked(lang: str, source: str) -> tuple[list[str], np.ndarray]:
+    """The tokens and the numbers of their classes."""
+    if lang not in _numbers:
+        _numbers[lang] = _Numbers(lang)
     toks = syntax.tokens_of(lang, source)
-    _, classes, _ = syntax._tool(lang)
-    cls = list(map(classes.__getitem__, toks))
-    if lang == "python":
-        keep = [(t, c) for t, c in zip(toks, cls, strict=True) if t[0] not in "\r\n"]
-        toks, cls = [t for t, _ in keep], [c for _, c in keep]
-    return toks, cls
+    return toks, np.fromiter(map(_numbers[lang].__getitem__, toks), dtype=np.int64, count=len(toks))
 
 
 _NAMES = ["text_h", "shape_h", "n_shingles", "n_tokens", "n_literals", "bits", "bands", "sketch", "sh"]
@@ -250,15 +285,16 @@ def profile(files: DataFrame, house: str, key: str) -> DataFrame:
                 if not src or not src.strip() or lang not in syntax._START:
                     rows.append((0, 0, 0, 0, 0, 0, None, None, None))
                     continue
-                toks, cls = _masked(lang, src)
-                bits = self_evidence(lang, src, path, house) if toks else 0
+                toks, ids = _masked(lang, src)
+                masked = ids[ids != 0] if lang == "python" else ids
+                bits = self_evidence(lang, src, path, house) if len(masked) else 0
                 if no_text(src):
                     bits |= DATA
                 elif "\x00" not in src:
-                    bits |= density(lang, src, toks, cls)
-                sh = shingles(cls)
+                    bits |= density(lang, src, toks, ids)
+                sh = shingles(masked)
                 shape = int(np.bitwise_xor.reduce(_mix(sh * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)) if len(sh) else 0
-                own = (zlib.crc32(src.encode("utf-8", "replace")) << 20 | len(src) & 0xFFFFF, shape, len(sh), len(toks), sum(map(cls.count, _LITERALS)), bits)
+                own = (zlib.crc32(src.encode("utf-8", "replace")) << 20 | len(src) & 0xFFFFF, shape, len(sh), len(masked), int(np.count_nonzero((ids >= _LITERALS[0]) & (ids <= _LITERALS[-1]))), bits)
                 rows.append((*own, bands(sh).tolist(), sketch(sh).tolist(), sh.tobytes()) if len(sh) else (*own, None, None, None))
             columns = list(zip(*rows, strict=True)) or [()] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([keys, repos, *(pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True))], names=["k", "repo", *_NAMES])
@@ -359,6 +395,7 @@ def _asked_large(core: DataFrame) -> DataFrame:
     at = ["band", "h", "cell"]
     rows = core.filter((F.col("n") > 1) & ~F.col("speaks")).withColumn("parts", F.ceil(F.col("n") / SIDE)).withColumn("part", F.pmod(F.xxhash64("shape_h"), "parts"))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: F.struct((F.least("part", k) * F.col("parts") + F.greatest("part", k)).alias("cell"), F.when(k == F.col("part"), 2).otherwise((k < F.col("part")).cast("int")).alias("side")))
+    cells = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side")))).otherwise(cells)
     dealt = rows.select("band", "h", "shape_h", "n_shingles", "sketch", F.explode(cells).alias("c")).select("band", "h", "c.cell", "c.side", "shape_h", "n_shingles", "sketch")
     return dealt.repartition(*at).sortWithinPartitions(*at, "n_shingles").mapInArrow(_near_in_cells, "leader long, shape_h long")
 
