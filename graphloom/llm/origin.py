@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,8 @@ PAIRS = 1_000_000
 SIDE = 32_768
 #: Pairs that are compared in one step.
 STEP = 1_000_000
+#: Rows of a cell from which they are compared in blocks, and the rows of a block.
+FULL, BLOCK = 64, 64
 
 GENERATED, VENDORED, DATA, MINIFIED = 1, 2, 4, 8
 
@@ -422,18 +425,13 @@ def _near(cell: np.ndarray, side: np.ndarray, shape: np.ndarray, size: np.ndarra
     size, at = size.astype(np.int64), np.arange(len(cell))
     # sizes of similar sets differ by a ratio of SIMILAR at most
     end = np.searchsorted(cell << 32 | size, cell << 32 | np.floor(size / SIMILAR + 1e-6).astype(np.int64), side="right")
-    upto = np.cumsum(end - at - 1)
-    a, words = 0, np.ascontiguousarray(sketches.T)
-    while a < len(cell):
-        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, side="right")))
-        n = end[a:b] - at[a:b] - 1
-        x = np.repeat(at[a:b], n)
-        y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + x + 1
-        a = b
+    words = np.ascontiguousarray(sketches.T)
+    full = np.bincount(cell)[cell] >= FULL
+    for x, y in chain(_each(np.where(full, at + 1, end)), _blocks(full, end, size, words)):
         if len(x) and side.min() < 2:
             meet = (side[x] == 2) | (side[x] != side[y])
             x, y = x[meet], y[meet]
-        most = (1 - SIMILAR) / (1 + SIMILAR) * (size[x] + size[y]) + 1e-6
+        most = _most(size[x] + size[y])
         bits = np.zeros(len(x), np.int64)
         for k, w in enumerate(words):
             bits += np.bitwise_count(w[x] ^ w[y])
@@ -444,6 +442,43 @@ def _near(cell: np.ndarray, side: np.ndarray, shape: np.ndarray, size: np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(shape[x], shape[y])), pa.array(np.maximum(shape[x], shape[y]))], names=["leader", "shape_h"])
 
 
+def _most(sizes: np.ndarray) -> np.ndarray:
+    return (1 - SIMILAR) / (1 + SIMILAR) * sizes + 1e-6
+
+
+def _each(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row with the rows behind it up to its end, some ``STEP`` pairs at a time."""
+    at = np.arange(len(end))
+    upto = np.cumsum(end - at - 1)
+    a = 0
+    while a < len(end):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + STEP, side="right")))
+        n = end[a:b] - at[a:b] - 1
+        x = np.repeat(at[a:b], n)
+        yield x, np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + x + 1
+        a = b
+
+
+def _blocks(full: np.ndarray, end: np.ndarray, size: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``_each`` for the rows of full cells, without most of the pairs that the sketches tell
+    apart: blocks of rows meet blocks of rows."""
+    for a in range(0, len(end), BLOCK):
+        b = min(a + BLOCK, len(end))
+        if not full[a:b].any():
+            continue
+        last, largest = int(end[a:b].max()), size[a:b].max()
+        for c in range(a + 1, last, 16 * BLOCK):
+            d = min(c + 16 * BLOCK, last)
+            bits = np.zeros((b - a, d - c), np.uint16)
+            for w in words:
+                bits += np.bitwise_count(w[a:b, None] ^ w[None, c:d])
+            x, y = np.nonzero(bits <= np.minimum(_most(largest + size[c:d]), SKETCH).astype(np.uint16))
+            x, y = x + a, y + c
+            met = full[x] & (x < y) & (y < end[x])
+            if met.any():
+                yield x[met], y[met]
+
+
 def _verified(prof: DataFrame, scratch: Scratch, pairs: DataFrame) -> DataFrame:
     """The pairs (leader, shape_h, ...) whose shingle sets are similar."""
     pairs, _ = scratch.write(pairs, "candidates")
